@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, tokencount
+from . import bpe, pii, quality, shards, simhash, tokencount
 
 
 def queries() -> dict:
     return {
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op5_token_counts": tokencount.op5_token_counts,
+        "op6_shards": shards.op6_shards,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op8_simhash_dedup": simhash.op8_simhash_dedup,
+        "op9_pii": pii.op9_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": quality.SQL}
