@@ -87,3 +87,14 @@ def text_words(text: F.Column) -> F.Column:
 def text_key(text: F.Column) -> F.Column:
     """128 bits that equal texts share; null has a key of its own."""
     return F.when(text.isNull(), F.lit("null")).otherwise(F.substring(F.sha2(text, 256), 1, 32))
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names put under other names, and those: for operators that add columns of these names."""
+    moved = {n: f"__kept_{n}" for n in df.columns if n.lower() in {x.lower() for x in names}}
+    return df.withColumnsRenamed(moved), moved
+
+
+def restored(df: DataFrame, moved: dict[str, str], columns: list[str]) -> DataFrame:
+    """The named columns, with those put aside under their own names again."""
+    return df.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in columns])

@@ -53,15 +53,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of docs."""
+    """doc_id, version (hash of the text) and fp (the fingerprint as a signed long) of each row of docs."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "version", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version long, fp long")
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -159,14 +159,24 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: in
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE, cell: int = CELL) -> DataFrame:
-    """doc_id, fp and component_id of each row of docs (doc_id, text)."""
+    """doc_id, version, fp, root (a fingerprint that names the component) and component_id of each row of docs (doc_id, text)."""
     prints = common.stored(fingerprints(docs, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = common.stored(components(links(nodes.select("fp"), radius, blocks, cell)), "roots")
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = common.stored(named.join(ids, "root").select("fp", "component_id"), "components")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = common.stored(named.join(ids, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(of_fp, "fp").select("doc_id", "version", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the least doc_id (then version) stays, once."""
+    found = near_duplicates(docs.select("doc_id", "text"), **options)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("least")
+    stays = found.groupBy("root").agg(least).select(F.col("least.doc_id").alias("_doc"), F.col("least.version").alias("_version"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version"))
+    rows = docs.join(stays.distinct(), same, "left_semi")
+    return rows.withColumn("_version", F.xxhash64("text")).dropDuplicates(["doc_id", "_version"]).select(*docs.columns)
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,10 @@ def test_documents(spark):
     near = (simhash.fingerprint(base) ^ simhash.fingerprint(base + " tail")).bit_count() <= 4
     assert got == {(5, 3), (3, 3), (9, 3 if near else 9), (7, 2), (2, 2), (None, 3), (11, 11)}
     assert simhash.near_duplicates(docs).count() == 8 and simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_of_each(spark):
+    rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (3, "other words in this one"), (None, "alone here now then"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string")
+    got = sorted(map(str, [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]))
+    assert got == sorted(map(str, [(3, "a b c d e f"), (3, "other words in this one"), (None, "alone here now then"), (None, None)]))
