@@ -30,7 +30,7 @@ from . import common
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BLOCKS = 7
+BLOCKS = 8
 #: Most fingerprints of a cell that are compared in one group; larger cells are dealt out in blocks of this size.
 CELL = 2048
 
