@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def error_probability(q: Column) -> Column:
@@ -69,7 +70,7 @@ def _tail(k: int, n: int, p: float) -> float:
     return max(0.0, 1.0 - math.fsum(term(i) for i in range(k)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X >= k) for n trials of chance p."""
     return pd.Series([_tail(int(a), int(b), float(c)) if np.isfinite(a) and np.isfinite(b) else None for a, b, c in zip(k, n, p)])
@@ -79,7 +80,7 @@ def rejects_upper(k: Column, n: Column, p: Column, alpha: float) -> Column:
     return (k > 0) & (binomial_tail(k, n, p) <= alpha)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """Twice the smaller tail, at most 1."""
     out = []
@@ -88,7 +89,7 @@ def binomial_two_sided(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_tail(x: pd.Series) -> pd.Series:
     """P(X > x) with one degree of freedom."""
     return pd.Series([math.erfc(math.sqrt(max(v, 0.0) / 2)) for v in x])

@@ -109,12 +109,11 @@ def root_mean_square(value: Column) -> Column:
 
 def log_sum(df: DataFrame, keys, value: str) -> DataFrame:
     """log(sum(exp(value))) of each group, stable."""
-    top = df.groupBy(*keys).agg(F.max(value).alias("_top"))
-    on = [df[k].eqNullSafe(top[k]) for k in keys]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    joined = df.join(top, condition).select(*[df[k] for k in keys], df[value], "_top")
+    top = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(value).alias("_top"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = df.join(top, same)
     return joined.groupBy(*keys, "_top").agg(F.sum(F.exp(F.col(value) - F.col("_top"))).alias("_sum")).select(*keys, (F.col("_top") + F.log("_sum")).alias("log_sum"))
 
 
