@@ -146,7 +146,7 @@ def invalid_reason(path: Column, size: Column) -> Column:
     return (
         F.when(F.size(path) == 0, "empty")
         .when(F.exists(path, lambda s: s["len"] <= 0), "zero length")
-        .when(F.exists(path, lambda s, *_: s["op"] == "P"), "padding")
+        .when(F.exists(path, lambda s: s["op"] == "P"), "padding")
         .when(F.exists(inside, lambda s: s["op"] == "H"), "clipping inside")
         .when(~F.exists(path, lambda s: s["op"].isin(*MATCH)), "no match")
         .when(read_length(path) != size, "wrong length")

@@ -123,10 +123,10 @@ def cluster_edge(rows: list[dict]) -> list[dict]:
             straight = _touch(c, o, "bp1", "bp1") and _touch(c, o, "bp2", "bp2")
             if straight or (_touch(c, o, "bp1", "bp2") and _touch(c, o, "bp2", "bp1")):
                 _grow(c, o, not straight)
-                c["members"].append(o)
+                c["members"].append(o | {"at": o["bp1_begin" if straight else "bp2_begin"]})
                 break
         else:
-            found.append({k: o[k] for k in o if k.startswith("bp")} | {"members": [o]})
+            found.append({k: o[k] for k in o if k.startswith("bp")} | {"members": [o | {"at": o["bp1_begin"]}]})
     merged = True
     while merged:
         merged = False
@@ -157,7 +157,7 @@ def clustered(found: DataFrame) -> DataFrame:
         for k, c in enumerate(cluster_edge(pdf.to_dict("records"))):
             kinds = [m["ev_type"] for m in c["members"]]
             fragments = {(m["sample"], m["qname"]) for m in c["members"]}
-            places = sorted({(m["sample"], m["qname"]): m["bp1_begin"] for m in c["members"]}.values())
+            places = sorted({(m["sample"], m["qname"]): m["at"] for m in c["members"]}.values())
             n = lambda *t: sum(x in t for x in kinds)  # noqa: E731, B023
             row = {x: c[x] for x in c if x.startswith("bp")}
             out.append({"locus": pdf["locus"].iloc[0], "n1": pdf["n1"].iloc[0], "n2": pdf["n2"].iloc[0], "cand": k, **row, "n_fragments": len(fragments), "n_pair": n("PAIR", "LOCAL_PAIR"), "n_split": n("SPLIT_ALIGN"), "n_indel": n("CIGAR"), "n_semi": n("SEMIALIGN", "SOFTCLIP"), "spans": places})

@@ -376,7 +376,7 @@ def without_overlaps(records: DataFrame, pad: int = 350) -> DataFrame:
                 if end is None or e > end[0]:
                     end = (e, (e - b, i))
             if worst is None:
-                return pd.DataFrame({"id": gone}, columns=["id"])
+                return pd.DataFrame({"id": pd.Series(gone, dtype=object)})
             gone.append(worst[1])
             rows = [r for r in rows if r[2] != worst[1]]
 

@@ -510,7 +510,7 @@ def timing_breakdown(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, translate(text, 'BDEFHIJKLMNOPQRSUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC') AS s FROM documents), k AS (SELECT DISTINCT doc_id, s[i:i + 5] AS word FROM (SELECT doc_id, s, unnest(range(1, length(s) - 4)) AS i FROM d))
-  SELECT word, count(*) AS n FROM k WHERE word NOT SIMILAR TO '.*[^ACGT].*' AND length(word) = 6 GROUP BY word""")
+  SELECT word, count(*) AS n FROM k WHERE NOT regexp_matches(word, '[^ACGT]') AND length(word) = 6 GROUP BY word""")
 def kmer_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.translate("text", "BDEFHIJKLMNOPQRSUVWXYZabcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC").alias("s"))
     return seq.word_counts(d, [], F.col("s"), 6).where(F.col("word").rlike("^[ACGT]+$"))
