@@ -19,6 +19,8 @@ from . import common
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: A host is rejected if more than this share of its documents is expected to fail.
 HOST_LIMIT = 0.5
+#: Most rejected hosts that are broadcast.
+BROADCAST_HOSTS = 100_000
 #: The prior counts as at least and at most so many documents.
 LEAST_PRIOR, MOST_PRIOR = 2.0, 1e6
 
@@ -73,6 +75,8 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT, text: bool = True) ->
     rows = measured(docs)
     rows = common.stored(rows if text else rows.drop("text"), "quality")
     rejected = host_rates(rows).where(F.col("rate") > host_limit).select(F.col("source").alias("_host"), F.lit(True).alias("_rejected"))
+    # a counted few are sent to all tasks, so that texts stay where they are; more are joined by shuffling
+    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected
     rows = rows.drop("kept").join(rejected, F.col("source") == F.col("_host"), "left")
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("_rejected").isNull()).drop("_host", "_rejected")
 
