@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators import graph as G
-from ..operators import intervals, observations, scoring, stats, vcf
+from ..operators import intervals, observations, scoring, stats, support, vcf
 from ..operators import reads as R
 
 
@@ -116,7 +116,29 @@ def run(reads: DataFrame, contigs: DataFrame, options: Options = Options()) -> D
     ready = prepared(reads, histogram, options)
     counts = R.sample_counts(R.evidence(ready.where(~R.mapped_filtered()), options.reads), options.reads)
     found, nodes, pairs = build_graph(ready, contigs, options)
-    return records(call_candidates(found, nodes, pairs, counts, options), contigs)
+    calls = G.checkpointed(call_candidates(found, nodes, pairs, counts, options), "calls")
+    if options.model != "diploid":
+        return records(calls, contigs)
+    return genotyped(calls, ready, histogram, contigs, options)
+
+
+def genotyped(calls: DataFrame, ready: DataFrame, histogram: DataFrame, contigs: DataFrame, options: Options = Options()) -> DataFrame:
+    """Records of candidates with quality, filters and the samples' genotypes by the diploid model."""
+    keys = ["locus", "n1", "n2", "cand"]
+    found = support.junctions(calls)
+    evidence = G.checkpointed(support.evidence(calls, ready, histogram, options.reads), "evidence")
+    called = scoring.diploid(evidence)
+    counts = scoring.support_counts(evidence)
+    spanning = counts.groupBy("event", "junction").agg(F.sum("alt_confident_spanning").alias("spanning"))
+    none = F.lit(None).cast("double")
+    judged = found.join(spanning, ["event", "junction"], "left").fillna(0, ["spanning"])
+    judged = judged.select("event", "size", "kind", "spanning", *[none.alias(f"bp{k}_{x}") for k in (1, 2) for x in ("depth", "limit", "mq0")])
+    filters = scoring.diploid_filters(called, judged).select("event", F.col("qual").cast("double").alias("qual"), F.col("filters").alias("filter"))
+    out = records(calls, contigs, found.join(filters, "event").select(*keys, "qual", "filter"))
+    ident = found.select("event", "junction", F.concat_ws(":", F.lit("SV"), "kind", *keys, F.lit(0), F.lit(0)).alias("id"))
+    samples = ident.join(scoring.sample_filters(called), "event").join(counts, ["event", "junction", "sample"])
+    both = samples.select(F.explode(F.array("id", F.concat("id", F.lit(":0")), F.concat("id", F.lit(":1")))).alias("id"), *[c for c in samples.columns if c != "id"])
+    return vcf.ordered(vcf.with_samples(out, both, "diploid"), contigs)
 
 
 SCORES = {"diploid": scoring.diploid, "somatic": scoring.somatic, "tumor": scoring.tumour_filters, "rna": scoring.rna_filters}

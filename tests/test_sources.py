@@ -141,3 +141,4 @@ def test_workflow_finds_a_planted_deletion(spark):
     contigs = spark.createDataFrame([(0, "chrFoo", 60_000)], "tid int, label string, length int")
     got = workflow.run(reads, contigs).collect()
     assert len(got) == 1 and got[0].alt == "<DEL>" and abs(got[0].pos - at) < 400 and "IMPRECISE" in got[0].info
+    assert got[0].qual > 50 and got[0].filter == [] and got[0].format == "GT:FT:GQ:PL:PR:SR" and got[0].samples[0].startswith("1/1:PASS")
