@@ -5,6 +5,7 @@ import pytest
 
 from helixloom.functions import align as A
 from helixloom.functions import assembly as S
+from helixloom.functions import descriptor
 
 SC = A.Scores(2, -4, -5, -1, -4)
 
@@ -98,3 +99,23 @@ def test_refined_deletion_and_homology():
     assert (j["bp1"], j["bp2"]) == (160, 400)
     assert S.paired_inserts([(100, "AC")], [(120, "GT"), (500, "A")]) == [(100, "AC", "GT")]
     assert np.isclose(S.mean_quality([10, 20]), 15)
+
+
+def test_reads_in_place():
+    rng = random.Random(8)
+    ref = "".join(rng.choices("ACGT", k=200))
+    r = A.aligned_read(ref[50:150], [30] * 100, "100M", 50, ref, 0, 99, 100)
+    assert (r["left"], r["hom"], r["right"], r["mismatches"], r["evidence"]) == (50, 0, 50, 0, True)
+    assert not A.aligned_read(ref[50:150], [30] * 100, "100M", 50, ref, 0, 55, 56)["evidence"]
+
+
+def test_match_descriptors():
+    assert descriptor.to_cigar("10A5^AC$3^2$4") == "16M2D3M2I4M"
+    assert descriptor.to_cigar("3^2$4", forward=False) == "4M2I3M"
+    for bad in ("5Q", "^AC$5"):
+        with pytest.raises(ValueError):
+            descriptor.to_cigar(bad)
+    ref, read = "ACGTACGTAC", "ACCTACTAC"
+    md = descriptor.from_cigar("6M1D3M", 0, read, ref)
+    assert md == "2G3^G$3" and descriptor.to_cigar(md) == "6M1D3M"
+    assert descriptor.from_cigar("6M1D3M", 0, read, ref, forward=False) == "3^C$3C2"
