@@ -14,7 +14,7 @@ _TYPE = "array<struct<op:string,len:int>>"
 def parse(cigar: Column) -> Column:
     """array<struct<op,len>> of a CIGAR string; '*' and null are empty; anything else that doesn't parse raises."""
     text = F.when(cigar.isNull() | (cigar == "*"), F.lit("")).otherwise(cigar)
-    whole = text.rlike("^(?:[0-9]+[MIDNSHP=X])*$")
+    whole = text.rlike(r"^(?:[0-9]+[MIDNSHP=X])*\z")
     lens, ops = F.regexp_extract_all(text, F.lit(PATTERN), 1), F.regexp_extract_all(text, F.lit(PATTERN), 2)
     out = F.zip_with(ops, lens, lambda o, n: F.struct(o.alias("op"), n.cast("int").alias("len")))
     return F.when(whole, out).otherwise(F.raise_error(F.concat(F.lit("Can't parse CIGAR string: "), text)))

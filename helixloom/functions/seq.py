@@ -16,7 +16,7 @@ def standard(s: Column) -> Column:
 
 
 def is_valid(s: Column) -> Column:
-    return s.rlike("^[ACGTN]*$")
+    return ~s.rlike("[^ACGTN]")
 
 
 def repeat_unit(s: Column) -> Column:
@@ -27,9 +27,8 @@ def repeat_unit(s: Column) -> Column:
 
 
 def words(s: Column, k: int) -> Column:
-    """All substrings of k characters, in order."""
-    n = F.length(s)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of k characters, in order: a look-ahead at each place, so the text is passed once."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
 
 
 def word_counts(df: DataFrame, keys, s: Column, k: int) -> DataFrame:

@@ -513,7 +513,7 @@ def timing_breakdown(spark, sf_dir):
   SELECT word, count(*) AS n FROM k WHERE NOT regexp_matches(word, '[^ACGT]') AND length(word) = 6 GROUP BY word""")
 def kmer_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.translate("text", "BDEFHIJKLMNOPQRSUVWXYZabcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC").alias("s"))
-    return seq.word_counts(d, [], F.col("s"), 6).where(F.col("word").rlike("^[ACGT]+$"))
+    return seq.word_counts(d, [], F.col("s"), 6).where(~F.col("word").rlike("[^ACGT]"))
 
 
 @query("SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) AS rc, regexp_replace(upper(p_name), '[^ACGT]', 'N', 'g') AS std FROM part")
