@@ -117,8 +117,15 @@ def add_splits(evidence_: DataFrame, splits: DataFrame) -> DataFrame:
     )
     fields = ("ref_lnl", "alt_lnl", "split", "split2")
     wide = best.groupBy(*KEYS, "sample", "qname").agg(*[F.max(F.when(F.col("read_no") == k, F.col(f))).alias(f"_r{k}_{f}") for k in (1, 2) for f in fields])
-    out = evidence_.join(wide, [*KEYS, "sample", "qname"], "left")
-    return out.withColumns({f"r{k}_{f}": F.coalesce(f"_r{k}_{f}", f"r{k}_{f}") for k in (1, 2) for f in fields}).drop(*[f"_r{k}_{f}" for k in (1, 2) for f in fields])
+    # a fragment seen by its split reads alone takes what belongs to its junction from the others
+    shared = ["size", "same_contig", "junctions", "pair_weight", "imprecise"]
+    of_junction = evidence_.groupBy(*KEYS).agg(*[F.max(c).alias(f"_{c}") for c in shared])
+    out = evidence_.join(wide, [*KEYS, "sample", "qname"], "full_outer").join(of_junction, KEYS)
+    out = out.withColumns({c: F.coalesce(c, f"_{c}") for c in shared})
+    seen = {f"r{k}_{x}": F.coalesce(f"r{k}_{x}", F.lit(True)) for k in (1, 2) for x in ("scanned", "anchored", "anchored2")}
+    default = {"ref_lnl": F.lit(0.0), "alt_lnl": F.lit(0.0), "split": F.lit(False), "split2": F.lit(False)}
+    lnl = {f"r{k}_{f}": F.coalesce(f"_r{k}_{f}", f"r{k}_{f}", default[f]) for k in (1, 2) for f in fields}
+    return out.withColumns(seen | lnl).select(*evidence_.columns)
 
 
 def remote_reads(reads: DataFrame, anchors: DataFrame, pad: int = 500) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators import graph as G
-from ..operators import intervals, observations, scoring, stats, support, vcf
+from ..operators import intervals, observations, refinement, scoring, stats, support, vcf
 from ..operators import reads as R
 
 
@@ -86,20 +86,24 @@ def build_graph(ready: DataFrame, contigs: DataFrame, options: Options = Options
 def call_candidates(found: DataFrame, nodes: DataFrame, pairs: DataFrame, counts: DataFrame, options: Options = Options()) -> DataFrame:
     """Candidates of all bidirectional or self edges, tested, filtered and grouped to events."""
     use = G.without_hub_edges(pairs.where(G.bidirectional(options.threshold)))
-    own = C.clustered(C.of_edge(observations.collapsed_near_indels(observations.fragments(found)), nodes, use))
+    own = C.clustered(observations.collapsed_near_indels(C.of_edge(observations.fragments(found), nodes, use)))
     rates = stats.noise_rates(counts.agg(*[F.sum(c).alias(c) for c in ("total", "anom", "split", "anom_and_split", "assm", "remote")])).select("anomalous_rate", "assembly_rate", F.lit(0.5).alias("depth"))
     marked = C.filtered(C.with_significance(own, rates))
     events = C.event_filter(C.junction_pairs(marked), options.min_spanning)
-    return events.where(~C.below_size(options.min_size)).withColumn("kind", C.sv_type())
+    return events.where(C.is_complex() | ~C.below_size(options.min_size)).withColumn("kind", C.sv_type())
 
 
-def records(calls: DataFrame, contigs: DataFrame, filters: DataFrame | None = None) -> DataFrame:
-    """Candidates as ordered records: breakend pairs, symbols for what lies on one contig. filters: locus, n1, n2, cand, qual, filter."""
+def records(calls: DataFrame, contigs: DataFrame, filters: DataFrame | None = None, exact: DataFrame | None = None) -> DataFrame:
+    """Candidates as ordered records: breakend pairs, symbols or sequences for what lies on one contig.
+
+    filters: locus, n1, n2, cand, qual, filter. exact: refined variants (of refinement.refined), which replace the imprecise ones.
+    """
     keys = ["locus", "n1", "n2", "cand"]
     scored = calls.join(filters, keys, "left") if filters is not None else calls.withColumns({"qual": F.lit(None).cast("double"), "filter": F.array().cast("array<string>")})
-    scored = scored.withColumn("id", C.junction_id().substr(1, 200)) if "asm" in calls.columns else scored.withColumns({"asm": F.lit(0), "seg": F.lit(0)}).withColumn("id", C.junction_id())
+    scored = scored.withColumns({"asm": F.lit(0), "seg": F.lit(0)}).withColumn("id", C.junction_id()).withColumn("filter", F.coalesce("filter", F.array().cast("array<string>")))
     named = lambda k: F.broadcast(contigs.select(F.col("tid").alias(f"bp{k}_tid"), F.col("label").alias(f"chrom{k}")))
-    df = scored.join(named(1), "bp1_tid").join(named(2), "bp2_tid")
+    rough = scored if exact is None else scored.join(exact.select(*keys), keys, "left_anti")
+    df = rough.join(named(1), "bp1_tid").join(named(2), "bp2_tid")
     flat = df.select(
         "*", F.lit(True).alias("imprecise"), F.lit("").alias("insert_seq"), *[F.col(f"bp{k}_begin").alias(f"pos{k}") for k in (1, 2)], *[F.col(f"bp{k}_end").alias(f"end{k}") for k in (1, 2)],
         *[F.col(f"bp{k}_state").alias(f"state{k}") for k in (1, 2)], F.lit("N").alias("ref1"), F.lit("N").alias("ref2"),
@@ -107,26 +111,42 @@ def records(calls: DataFrame, contigs: DataFrame, filters: DataFrame | None = No
     pairs = vcf.breakend_rows(flat.where(F.col("kind").isin("INTERTRANSLOC", "INVERSION", "UNKNOWN")))
     low, high = F.least("bp1_begin", "bp2_begin"), F.greatest("bp1_end", "bp2_end")
     local = flat.where(F.col("kind").isin("INDEL", "TANDUP")).select("id", F.when(F.col("kind") == "INDEL", "DELETE").otherwise(F.col("kind")).alias("kind"), F.col("chrom1").alias("chrom"), low.alias("pos"), high.alias("end"), F.lit("N").alias("ref"), "insert_seq", "imprecise", F.lit("").alias("homology"), "qual", "filter")
-    return vcf.deduplicated(pairs.unionByName(vcf.indel_rows(local)), contigs)
+    out = pairs.unionByName(vcf.indel_rows(local))
+    if exact is not None:
+        precise = exact.join(scored.select(*keys, "id", "qual", "filter"), keys)
+        out = out.unionByName(vcf.indel_rows(refinement.indels(precise, contigs)))
+    return vcf.deduplicated(out, contigs)
 
 
-def run(reads: DataFrame, contigs: DataFrame, options: Options = Options()) -> DataFrame:
-    """Variant records of alignments."""
+def run(reads: DataFrame, contigs: DataFrame, options: Options = Options(), pieces: DataFrame | None = None) -> DataFrame:
+    """Variant records of alignments. pieces: the reference (sources.text.chunked, with a margin of 20 kb), for exact breakends."""
     histogram = G.checkpointed(fragment_statistics(R.with_flags(reads)), "fragments")
     ready = prepared(reads, histogram, options)
     counts = R.sample_counts(R.evidence(ready.where(~R.mapped_filtered()), options.reads), options.reads)
     found, nodes, pairs = build_graph(ready, contigs, options)
     calls = G.checkpointed(call_candidates(found, nodes, pairs, counts, options), "calls")
+    exact = None
+    if pieces is not None:
+        event = F.concat_ws(":", "locus", "n1", "n2", "event")
+        named = calls.select("locus", "n1", "n2", "cand", event.alias("event"), F.col("cand").alias("junction"))
+        exact = G.checkpointed(refinement.refined(calls, ready, pieces).join(named, ["locus", "n1", "n2", "cand"]), "refined")
     if options.model != "diploid":
-        return records(calls, contigs)
-    return genotyped(calls, ready, histogram, contigs, options)
+        return records(calls, contigs, exact=exact)
+    return genotyped(calls, ready, histogram, contigs, options, exact)
 
 
-def genotyped(calls: DataFrame, ready: DataFrame, histogram: DataFrame, contigs: DataFrame, options: Options = Options()) -> DataFrame:
+def genotyped(calls: DataFrame, ready: DataFrame, histogram: DataFrame, contigs: DataFrame, options: Options = Options(), exact: DataFrame | None = None) -> DataFrame:
     """Records of candidates with quality, filters and the samples' genotypes by the diploid model."""
     keys = ["locus", "n1", "n2", "cand"]
     found = support.junctions(calls)
-    evidence = G.checkpointed(support.evidence(calls, ready, histogram, options.reads), "evidence")
+    evidence = support.evidence(calls, ready, histogram, options.reads)
+    if exact is not None:
+        splits = support.split_reads(refinement.exact_junctions(exact), ready.where(~R.mapped_filtered()), refinement.alleles(exact))
+        evidence = support.add_splits(evidence, G.checkpointed(splits, "splits"))
+        precise = exact.select("event", "junction", F.lit(False).alias("_exact"))
+        evidence = evidence.join(precise, ["event", "junction"], "left").withColumn("imprecise", F.coalesce("_exact", "imprecise")).drop("_exact")
+        evidence = scoring.resolved_conflicts(evidence)
+    evidence = G.checkpointed(evidence, "evidence")
     called = scoring.diploid(evidence)
     counts = scoring.support_counts(evidence)
     spanning = counts.groupBy("event", "junction").agg(F.sum("alt_confident_spanning").alias("spanning"))
@@ -134,7 +154,7 @@ def genotyped(calls: DataFrame, ready: DataFrame, histogram: DataFrame, contigs:
     judged = found.join(spanning, ["event", "junction"], "left").fillna(0, ["spanning"])
     judged = judged.select("event", "size", "kind", "spanning", *[none.alias(f"bp{k}_{x}") for k in (1, 2) for x in ("depth", "limit", "mq0")])
     filters = scoring.diploid_filters(called, judged).select("event", F.col("qual").cast("double").alias("qual"), F.col("filters").alias("filter"))
-    out = records(calls, contigs, found.join(filters, "event").select(*keys, "qual", "filter"))
+    out = records(calls, contigs, found.join(filters, "event").select(*keys, "qual", "filter"), exact)
     ident = found.select("event", "junction", F.concat_ws(":", F.lit("SV"), "kind", *keys, F.lit(0), F.lit(0)).alias("id"))
     samples = ident.join(scoring.sample_filters(called), "event").join(counts, ["event", "junction", "sample"])
     both = samples.select(F.explode(F.array("id", F.concat("id", F.lit(":0")), F.concat("id", F.lit(":1")))).alias("id"), *[c for c in samples.columns if c != "id"])

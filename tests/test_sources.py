@@ -142,3 +142,44 @@ def test_workflow_finds_a_planted_deletion(spark):
     got = workflow.run(reads, contigs).collect()
     assert len(got) == 1 and got[0].alt == "<DEL>" and abs(got[0].pos - at) < 400 and "IMPRECISE" in got[0].info
     assert got[0].qual > 50 and got[0].filter == [] and got[0].format == "GT:FT:GQ:PL:PR:SR" and got[0].samples[0].startswith("1/1:PASS")
+
+
+def test_workflow_refines_a_small_deletion(spark):
+    """Reads over a deletion of 60 bases are aligned with it; assembly gives its exact bases and split reads its genotype."""
+    import random
+
+    rng = random.Random(12)
+    ref = "".join(rng.choices("ACGT", k=12_000))
+    at, gone, n = 6000, 60, 100
+    rows = []
+
+    def mapped(p, deleted):
+        """Place, CIGAR and bases of a read of a genome with or without the deletion."""
+        if not deleted:
+            return p, f"{n}M", ref[p : p + n]
+        if p + n <= at:
+            return p, f"{n}M", ref[p : p + n]
+        if p >= at:
+            return p + gone, f"{n}M", ref[p + gone : p + gone + n]
+        left = at - p
+        bases = ref[p:at] + ref[at + gone : at + gone + n - left]
+        if left >= 25 and n - left >= 25:
+            return p, f"{left}M{gone}D{n - left}M", bases
+        return (p, f"{left}M{n - left}S", bases) if left > n - left else (at + gone, f"{left}S{n - left}M", bases)
+
+    for i, start in enumerate(range(0, 11_000, 8)):
+        deleted = i % 2 == 0
+        size = rng.randrange(250, 350)
+        (a, ca, sa), (b, cb, sb) = mapped(start, deleted), mapped(start + size - n, deleted)
+        tlen = b + n - a
+        for flag, p, c, s, m, t in ((99, a, ca, sa, b, tlen), (147, b, cb, sb, a, -tlen)):
+            rows.append((f"f{i}", flag, 0, 0, p, 60, c, 0, m, t, s, [30] * len(s), None, None, {}))
+    reads = spark.createDataFrame(rows, "qname string, flag int, sample int, tid int, pos0 int, mapq int, cigar string, mate_tid int, mate_pos0 int, tlen int, seq string, qual array<int>, sa string, mc string, tags map<string,string>")
+    contigs = spark.createDataFrame([(0, "chrFoo", 12_000)], "tid int, label string, length int")
+    pieces = text.chunked(spark.createDataFrame([("chrFoo", ref)], "label string, bases string"), contigs, margin=20_000)
+    got = workflow.run(reads, contigs, pieces=pieces).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert len(r.ref) - len(r.alt) == gone and "IMPRECISE" not in r.info and f"SVLEN=-{gone}" in r.info
+    assert ref[: r.pos - 1] + r.alt + ref[r.pos - 1 + len(r.ref) :] == ref[:at] + ref[at + gone :]
+    assert r.samples[0].startswith("0/1:PASS") and r.filter == []
