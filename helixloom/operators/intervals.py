@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Bin width of the finest level, and how many times wider each next level is.
 BIN, FACTOR, LEVELS = 1024, 64, 3
+#: Places that are summed or merged in one task before contigs are put together.
+BLOCK = 1 << 20
 
 
 def center(begin: Column, end: Column) -> Column:
@@ -94,8 +96,15 @@ def islands(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end"
 
 
 def merged(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end", touching: bool = False, gap: int = 0) -> DataFrame:
-    """One row for each island: its hull and how many ranges it has."""
-    return islands(df, keys, begin, end, touching, gap).groupBy(*keys, "island").agg(F.min(begin).alias("begin"), F.max(end).alias("end"), F.count("*").alias("n"))
+    """One row for each island: its hull and how many ranges it has.
+
+    Ranges are merged within blocks of places first, so that a contig's task sees hulls, not ranges: later blocks begin
+    later, so merging their hulls in order gives the same islands.
+    """
+    block = F.expr(f"`{begin}` div {BLOCK}")
+    local = islands(df.select(*keys, F.col(begin).alias("begin"), F.col(end).alias("end"), block.alias("_block")), (*keys, "_block"), touching=touching, gap=gap)
+    hulls = local.groupBy(*keys, "_block", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island", "_block")
+    return islands(hulls, keys, touching=touching, gap=gap).groupBy(*keys, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
 def steps(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end", weight: Column | None = None) -> DataFrame:
@@ -106,10 +115,18 @@ def steps(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end",
 
 
 def coverage(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end", weight: Column | None = None) -> DataFrame:
-    """begin, end and depth of the runs of equal summed weight, places without any left out."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    out = steps(df, keys, begin, end, weight)
-    out = out.withColumn("depth", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("pos").over(w))
+    """begin, end and depth of the runs of equal summed weight, places without any left out.
+
+    Places are summed along blocks; what lies before a block, and where the next one begins, comes from a row for each block.
+    """
+    out = steps(df, keys, begin, end, weight).withColumn("_block", F.expr(f"pos div {BLOCK}"))
+    along = Window.partitionBy(*keys).orderBy("_block")
+    blocks = out.groupBy(*keys, "_block").agg(F.sum("change").alias("_change"), F.min("pos").alias("_first"))
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_change").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(along).alias("_after"))
+    w = Window.partitionBy(*keys, "_block").orderBy("pos")
+    out = out.join(blocks, [*keys, "_block"])
+    depth = F.col("_before") + F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("depth", depth).withColumn("next", F.coalesce(F.lead("pos").over(w), "_after"))
     return out.where("next IS NOT NULL AND depth <> 0").select(*keys, F.col("pos").alias("begin"), F.col("next").alias("end"), "depth")
 
 
