@@ -37,6 +37,8 @@ from . import common
 WINDOW, PREFIX = 20, 8
 #: Most distinct suffixes of a prefix that one task builds a subtree of.
 GROUP = 4096
+#: Rows of an Arrow batch: a text makes many suffixes, all of a batch at once.
+BATCH = 500
 _LEAST_DOC = -(1 << 63)
 
 
@@ -211,13 +213,17 @@ def _place(doc: str, at: str) -> F.Column:
 def removed(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc, version and cuts (array of at and gone): for each anchor, the windows about it that go. docs has doc, version, text."""
     found = common.stored(_anchor_rows(docs, window, prefix), "anchors")
-    repeated = found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    places = found.join(repeated, "prefix", "left_semi").groupBy("doc", "version").agg(F.collect_set(F.struct("at", "prefix")).alias("places"))
+    # stored, so that both sides of the join come straight from a shuffle and Spark can split a hot prefix's
+    repeated = common.stored(found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "repeated")
+    # stored, so that what was shuffled for it is gone before the texts are
+    places = common.stored(found.join(repeated, "prefix", "left_semi").groupBy("doc", "version").agg(F.collect_set(F.struct("at", "prefix")).alias("places")), "places")
+    common.forget(found)
+    common.forget(repeated)
     suffixes = common.stored(
         _suffix_rows(docs.join(places, ["doc", "version"]).select("doc", "version", "text", "places"), window, prefix).withColumn("suffix", F.xxhash64("right_words", "left_words")),
         "suffixes",
     )
-    common.forget(found)
+    common.forget(places)
     first = suffixes.groupBy("prefix", "suffix", "right_words", "left_words").agg(F.min(_place("doc", "at")).alias("first"))
     base = F.lit(1 << 32).cast("decimal(11,0)")
     # a place is doc * 2^32 + at with 0 <= at < 2^31, so both come back from it
@@ -259,6 +265,7 @@ def kept_words(text: str | None, cuts: list[dict] | None, window: int = WINDOW)
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space, as bytes) of each row of docs (doc_id, text)."""
     common.ship(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_DOC)).alias("doc"), F.xxhash64("text").alias("version"), F.encode("text", "UTF-8").alias("text"), "doc_id")
     cuts = removed(texts.select("doc", "version", "text"), window, prefix, group)
 
