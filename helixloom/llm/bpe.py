@@ -28,7 +28,7 @@ from . import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a worker's memory of pieces and of token pairs; beyond it the memory starts anew. A piece longer than LONG is not kept.
-PIECES, PAIRS, LONG = 300_000, 2_000_000, 48
+PIECES, PAIRS, LONG = 120_000, 200_000, 48
 _NEVER = 1 << 60
 
 # Letters and numbers that the installed regex module knows and Unicode 16, which the tokenizer libraries follow, does not.

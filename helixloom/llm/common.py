@@ -25,9 +25,9 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers: at once if PYTHONPATH has it, else as a zip by Spark's own file server."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
+def ship(spark: SparkSession, rows: int = 500) -> None:
+    """Sets the rows of an Arrow batch (few, as texts may be long), and makes this package importable in Python workers: at once if PYTHONPATH has it, else as a zip by Spark's own file server."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES)), ("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     root = Path(__file__).resolve().parents[2]

@@ -129,7 +129,7 @@ def _linked(groups: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
 def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """a < b: links between distinct fingerprints (fp) that connect all within radius bits of each other."""
     spark = nodes.sparkSession
-    common.ship(spark)
+    common.ship(spark, rows=10_000)
     # fingerprints are few bytes but enter many cells: they are spread first, as Spark would merge their partitions into few tasks; by another hash, or it would drop the step
     entries = cells(nodes.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp")), radius, blocks)
     crowded = entries.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1")

@@ -37,8 +37,6 @@ from . import common
 WINDOW, PREFIX = 20, 8
 #: Most distinct suffixes of a prefix that one task builds a subtree of.
 GROUP = 4096
-#: Rows of an Arrow batch: a text makes many suffixes, all of a batch at once.
-BATCH = 500
 _LEAST_DOC = -(1 << 63)
 
 
@@ -265,7 +263,6 @@ def kept_words(text: str | None, cuts: list[dict] | None, window: int = WINDOW)
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space, as bytes) of each row of docs (doc_id, text)."""
     common.ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_DOC)).alias("doc"), F.xxhash64("text").alias("version"), F.encode("text", "UTF-8").alias("text"), "doc_id")
     cuts = removed(texts.select("doc", "version", "text"), window, prefix, group)
 
