@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import bpe, common, decontam, pii, quality, simhash
+from helixloom.llm import bpe, common, decontam, pii, quality, resemblance
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates (Jaccard similarity of five-word shingles of 0.8 or more) stays."""
+    return resemblance.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Fingerprints, checksummed spans and byte-level merges are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
+#: Similar sets, checksummed spans and byte-level merges are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,244 @@
+"""Near-dedup by the exact Jaccard similarity of the sets of five-word shingles, at least 0.8.
+
+Candidates come from prefixes. The shingles of all documents have one order; sets that are similar enough share a
+shingle among the first |s| - ceil(0.8 |s|) + 1 of each, whatever the order is, so no pair is missed. The order puts
+shingles that are common in a sample last, which only spares work. Sizes and places bound what two sets can share.
+
+Equal sets are one node. Of each shingle's list of nodes all are first compared with one of them; what that links is
+one component, and only pairs of different components are compared after it. So a large group of copies costs about
+its size. Pairs are dropped by the bits of their sets, as far as those tell, before whole sets are
+compared, in turns. Lists of more than CELL nodes are dealt out as pairs of blocks, so no task holds a whole list.
+
+Defined cases: shingles are hashed to 64 bits, and sets to 64 bits for equality; a text of fewer than five words is one
+shingle; texts without words are equal; words are lowered as ASCII.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from . import common, simhash
+from .components import components
+
+SHINGLE, SEED = 5, 42
+#: Similarity, as a fraction.
+NUM, DEN = 4, 5
+BUCKETS = 1 << 20
+#: About how many documents the order of shingles is taken from.
+SAMPLE = 20_000
+CELL = 1024
+#: Bits of a set's map, which bounds what two sets share, and the shares of the sets that are compared with each other at a time.
+BITS, TURNS = 2048, 3
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - SHINGLE + 1)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: n - 1].tolist()]
+    stops = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(line[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, n))
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is at least NUM / DEN; empty sets are equal."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return (NUM + DEN) * both >= NUM * (len(x) + len(y))
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """The set's hashes modulo BITS as bits: a bit that only one of two sets has stands for an element that only it has."""
+    bits = np.zeros(BITS, bool)
+    bits[(own % BITS).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def prefix(own: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all: by how common their bucket is, then by hash."""
+    n = len(own) - -(-NUM * len(own) // DEN) + 1 if len(own) else 0
+    if len(buckets):
+        at = (own % BUCKETS).astype(np.int64)
+        found = np.minimum(np.searchsorted(buckets, at), len(buckets) - 1)
+        own = own[np.argsort(np.where(buckets[found] == at, counts[found], 0), kind="stable")]
+    return own[:n]
+
+
+def _common(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of shingles that are common in a sample of the documents, and their counts."""
+    step = max(1, docs.count() // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, (shingles(x) % BUCKETS).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000]), pa.array(total[at[i : i + 10_000]])], names=["bucket", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
+    found = common.stored(some.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "common")
+    mean = found.agg(F.sum("n") / BUCKETS).first()[0] or 0
+    rows = found.where(F.col("n") > 4 * mean + 4).orderBy("bucket").toArrow()
+    common.forget(found)
+    return rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
+
+
+def prints(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, version (hash of the text), node (hash of the set), size and tokens (the set's prefix) of each row of docs."""
+    common.ship(docs.sparkSession)
+    buckets, counts = _common(docs, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size, tokens = [], [], []
+            for x in batch.column(1).to_pylist():
+                own = shingles(x)
+                node.append(xxh64_intdigest(own.tobytes(), SEED))
+                size.append(len(own))
+                tokens.append(prefix(own, buckets, counts).view(np.int64))
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "node", "size", "tokens"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, f"doc_id {kind}, version long, node long, size int, tokens array<long>")
+
+
+def _lists(found: DataFrame) -> DataFrame:
+    """token, node, size and place: the nodes of each prefix shingle that two nodes or more have."""
+    nodes = found.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    rows = nodes.select("node", "size", F.posexplode("tokens").alias("place", "token")).select("token", "node", "size", "place")
+    held = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(held, "token").select("token", "node", "size", "place", "n")
+
+
+def _fits(size: str, place: str, other: str, other_place: str) -> F.Column:
+    """Whether two sets can be similar that share a prefix shingle, first at these places."""
+    s, t = F.col(size), F.col(other)
+    most = F.least(s - F.col(place), t - F.col(other_place))
+    return (F.least(s, t) * DEN >= F.greatest(s, t) * NUM) & (most * (NUM + DEN) >= (s + t) * NUM)
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """a < b: each node of a list with the list's least, where they can be similar."""
+    hub = lists.groupBy("token").agg(F.min(F.struct("size", "node", "place")).alias("hub"))
+    rows = lists.join(hub, "token").select("node", "size", "place", F.col("hub.node").alias("o_node"), F.col("hub.size").alias("o_size"), F.col("hub.place").alias("o_place"))
+    rows = rows.where((F.col("node") != F.col("o_node")) & _fits("size", "place", "o_size", "o_place"))
+    return rows.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def _across(lists: DataFrame, roots: DataFrame, cell: int) -> DataFrame:
+    """a < b: nodes of one list and of different components that can be similar."""
+    rows = lists.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
+    part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
+    dealt = (
+        rows.join(mixed, "token")
+        .withColumn("parts", F.ceil(F.col("m") / cell).cast("int"))
+        .withColumn("part", part)
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("deal"), "node", "root", "size", "place")
+    )
+
+    def pairs(rows: np.ndarray) -> np.ndarray:
+        node, root, size, place = rows[1:]
+        out = []
+        for i in range(len(node) - 1):  # rows rise by size
+            to = i + 1 + int(np.searchsorted(size[i + 1 :] * NUM, size[i] * DEN, side="right"))
+            t, p = size[i + 1 : to], place[i + 1 : to]
+            ok = (root[i + 1 : to] != root[i]) & (np.minimum(size[i] - place[i], t - p) * (NUM + DEN) >= (size[i] + t) * NUM)
+            if ok.any():
+                near = node[i + 1 : to][ok]
+                out.append(np.stack([np.minimum(near, node[i]), np.maximum(near, node[i])]))
+        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((5, 0), np.int64)
+
+        def found(rows):
+            edges = np.flatnonzero(np.diff(rows[0])) + 1
+            for group in np.split(rows, edges, axis=1):
+                x = pairs(group)
+                if x.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+            whole = int(np.searchsorted(held[0], held[0][-1])) if held.shape[1] else 0  # the last group may go on in the next batch
+            if whole:
+                yield from found(held[:, :whole])
+                held = held[:, whole:]
+        if held.shape[1]:
+            yield from found(held)
+
+    return dealt.repartition("deal").sortWithinPartitions("deal", "size", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = found.join(used, "node", "left_semi").groupBy("node").agg(F.min("version").alias("version"))
+    texts = docs.select("text", F.xxhash64("text").alias("version")).join(one, "version").groupBy("node").agg(F.first("text").alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(x) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(x) for x in own], pa.int32()), pa.array([bitmap(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "bits", "own"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
+            s, t = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            most = np.minimum(s - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), t - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            yield batch.select(["a", "b"]).filter(pa.array(most * (NUM + DEN) >= (s + t) * NUM))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    own = common.stored(texts.mapInArrow(sets, "node long, size int, bits binary, own binary"), "sets")
+    side = lambda k, *names: own.select(F.col("node").alias(k), *[F.col(n).alias(f"{n}_{k}") for n in names])
+    rows = pairs.join(side("a", "size", "bits"), "a").join(side("b", "size", "bits"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+    left = common.stored(rows.mapInArrow(bounded, "a long, b long"), "bounded")
+    out = []
+    share = lambda c, k: F.pmod(F.xxhash64(c), F.lit(TURNS)) == k
+    for i, j in product(range(TURNS), repeat=2):  # whole sets of some pairs at a time, so that their shuffle files are a part of the input
+        both = left.where(share("a", i) & share("b", j)).join(side("a", "own").where(share("a", i)), "a").join(side("b", "own").where(share("b", j)), "b")
+        out.append(common.stored(both.select("a", "b", "own_a", "own_b").mapInArrow(exact, "a long, b long"), "similar"))
+    common.forget(own)
+    common.forget(left)
+    return reduce(DataFrame.unionAll, out)
+
+
+def near_duplicates(docs: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
+    """doc_id, version and root (a node that names the component) of each row of docs (doc_id, text)."""
+    found = common.stored(prints(docs, sample), "prints")
+    lists = common.stored(_lists(found), "lists")
+    tried = common.stored(_stars(lists), "stars")
+    close = _verified(tried, docs, found)
+    roots = common.stored(components(close), "roots")
+    more = common.stored(_across(lists, roots, cell).join(tried, ["a", "b"], "left_anti"), "across")
+    close = close.unionAll(_verified(more, docs, found))
+    roots = common.stored(components(close), "roots")
+    for df in (lists, tried, more):
+        common.forget(df)
+    return found.join(roots, "node", "left").select("doc_id", "version", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the least doc_id (then version) stays, once."""
+    return simhash.least_of_each(docs, near_duplicates(docs.select("doc_id", "text"), **options))

@@ -172,7 +172,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near duplicates: of each component the document with the least doc_id (then version) stays, once."""
-    found = near_duplicates(docs.select("doc_id", "text"), **options)
+    return least_of_each(docs, near_duplicates(docs.select("doc_id", "text"), **options))
+
+
+def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each root of found (doc_id, version, root) the row of docs with the least doc_id (then version), once."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("least")
     stays = found.groupBy("root").agg(least).select(F.col("least.doc_id").alias("_doc"), F.col("least.version").alias("_version"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version"))

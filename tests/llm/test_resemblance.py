@@ -1,0 +1,67 @@
+import random
+
+from helixloom.llm import resemblance
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_components(texts):
+    sets = [plain_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def planted(seed):
+    """Texts with copies at similarities about 0.8, a common passage and a large group of near copies."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(60)]
+    texts = ["", None, " ", "one two", "One two", "one three"]
+    for n in (30, 60, 100, 150, 200) * 6:
+        base = [word() for _ in range(n)]
+        texts.append(" ".join(base))
+        for edits in range(rng.randrange(7)):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(n)] = word()
+            texts.append(" ".join(copy))
+    texts += [" ".join(passage + [word() for _ in range(rng.randrange(5, 60))]) for _ in range(30)]
+    base = [word() for _ in range(120)]
+    texts += [" ".join(base[:k] + [word()] + base[k:]) for k in range(0, 120, 3)]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_components_equal_brute_force(spark):
+    for seed, options in ((1, {}), (2, {"cell": 7, "sample": 40})):
+        texts = planted(seed)
+        expected = plain_components(texts)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        groups = {}
+        for r in resemblance.near_duplicates(docs, **options).collect():
+            groups.setdefault(r.root, set()).add(r.doc_id)
+        wanted = {}
+        for i, r in enumerate(expected):
+            wanted.setdefault(r, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+        assert 40 < len(groups) < len(texts) - 60
+
+
+def test_the_stage_drops_copies_far_apart_in_fingerprint_bits(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(9000)}" for _ in range(100)]
+    rows = [(i, " ".join(base[:k] + ["new"] + base[k:]), "x") for i, k in enumerate(range(5, 95, 10))] + [(20, " ".join(f"v{i}" for i in range(90)), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 20]
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
