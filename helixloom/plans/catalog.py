@@ -391,6 +391,14 @@ def graph_components(spark, sf_dir):
     return graph.connected_components(l.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")))
 
 
+# no SQL: a recursive query keeps a row for each node and label that reaches it; tests/test_components.py compares with a union-find
+@query()
+def graph_components_all(spark, sf_dir):
+    """Components over all links of parts and suppliers."""
+    l = table(spark, sf_dir, "lineitem")
+    return graph.connected_components(l.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")))
+
+
 @query("SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS members FROM lineitem GROUP BY 1")
 def fragment_regroup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("l_linenumber")), ",").alias("members"))
