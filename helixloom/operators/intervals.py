@@ -1,10 +1,11 @@
 """Half-open genomic intervals: overlap joins, islands, coverage, region sums and window statistics.
 
 Intervals are columns tid, begin, end with begin < end; column names are parameters. Overlap joins are equi-joins
-on (tid, bin): each interval enters the bins that it touches, and a pair is kept only in the bin where the later
-of the two begins, so no pair appears twice and nothing is de-duplicated. Intervals that touch more than
-`spread` bins would explode; they meet the others by a coarser bin, chosen by level, so a row enters a bounded
-number of bins whatever its length.
+on (tid, level, bin). An interval's own level is the finest whose bins are at least as wide as it is. A pair meets at the
+coarser of its two own levels, so a row enters its own level, and the coarser ones only for partners that are at home
+there: two intervals that are both finer never meet at a coarse level. A pair is kept only in the bin where the later
+of the two begins, so no pair appears twice and nothing is de-duplicated. At each level a row touches at most two bins,
+whatever its length.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bin width of the finest level, and how many times wider each next level is.
-BIN, FACTOR, LEVELS = 1024, 64, 3
+BIN, FACTOR, LEVELS = 1024, 16, 4
 #: Places that are summed or merged in one task before contigs are put together.
 BLOCK = 1 << 20
 
@@ -42,49 +43,45 @@ def _level(size: Column) -> Column:
     return out
 
 
+def _keyed(df: DataFrame, begin: str, end: str, own_kind: int, other_kind: int) -> DataFrame:
+    """df with _meet (level and kind of meeting as one number), _bin and _first (how many of its bins begin before it at that level).
+
+    Kind 0 is for two intervals of one level; own_kind is for partners of finer levels, other_kind for coarser ones.
+    """
+    own = _level(F.col(end) - F.col(begin))
+    finer = [F.when(own < k, F.lit(3 * k + other_kind)) for k in range(1, LEVELS + 1)]
+    meets = F.array_compact(F.array(3 * own, 3 * own + own_kind, *finer))
+    width = f"(BIGINT({BIN}) * CAST(pow({FACTOR}, _meet div 3) AS BIGINT))"
+    floor = lambda x: f"CAST(floor(({x}) / {width}) AS BIGINT)"
+    return df.withColumn("_meet", F.explode(meets)).withColumn("_bin", F.explode(F.sequence(F.expr(floor(f"`{begin}`")), F.expr(floor(f"`{end}` - 1")))))
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs that share a bin, before their places are compared: left has _tid, _lb, _le and right _rtid, _rb, _re."""
+    a, b = _keyed(left, "_lb", "_le", 1, 2), _keyed(right, "_rb", "_re", 2, 1).withColumnsRenamed({"_meet": "_rmeet", "_bin": "_rbin"})
+    return a.join(b, (F.col("_tid") == F.col("_rtid")) & (F.col("_meet") == F.col("_rmeet")) & (F.col("_bin") == F.col("_rbin")))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", left_cols=("tid", "begin", "end"), right_cols=("tid", "begin", "end"), gap: int = 0) -> DataFrame:
     """Rows of left with the rows of right on the same tid that overlap them, or lie within gap of them.
 
-    how: inner, left_semi or left_anti. The tables must not share column names for inner. Each side is told by
-    level: at the coarser level of the two, both enter the at most two bins that they touch.
+    how: inner, left_semi or left_anti. The tables must not share column names for inner. Semi and anti joins move
+    places and a hash of 128 bits that stands for all columns of a row; equal rows share it, as they share the result.
     """
     (lt, lb, le), (rt, rb, re) = left_cols, right_cols
-    if gap:
-        left = left.withColumn("_lb", F.col(lb) - gap).withColumn("_le", F.col(le) + gap)
-    else:
-        left = left.withColumn("_lb", F.col(lb)).withColumn("_le", F.col(le))
-    right = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-    rt, rb, re = f"_r_{rt}", f"_r_{rb}", f"_r_{re}"
-    keyed = lambda df, b, e, side: (
-        df.withColumn(f"_{side}own", _level(F.col(e) - F.col(b)))
-        .withColumn(f"_{side}level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-        # at levels finer than its own an interval stands for itself only by its own level
-        .where(F.col(f"_{side}level") >= F.col(f"_{side}own"))
-        .withColumn(f"_{side}bin", F.explode(F.sequence(F.expr(f"{b} div (BIGINT({BIN}) * CAST(pow({FACTOR}, _{side}level) AS BIGINT))"), F.expr(f"({e} - 1) div (BIGINT({BIN}) * CAST(pow({FACTOR}, _{side}level) AS BIGINT))"))))
-    )
-    a, b = keyed(left, "_lb", "_le", "l"), keyed(right, rb, re, "r")
-    later = F.expr(f"greatest(_lb, {rb}) div (BIGINT({BIN}) * CAST(pow({FACTOR}, _llevel) AS BIGINT))")
-    on = (
-        (F.col(lt) == F.col(rt))
-        & (F.col("_llevel") == F.col("_rlevel"))
-        & (F.col("_lbin") == F.col("_rbin"))
-        & (F.col("_llevel") == F.greatest("_lown", "_rown"))
-        & (F.col("_lb") < F.col(re))
-        & (F.col(rb) < F.col("_le"))
-        & (later == F.col("_lbin"))
-    )
-    extra = ["_lb", "_le", "_lown", "_llevel", "_lbin", "_rown", "_rlevel", "_rbin"]
+    places = lambda t, b, e, names, by=0: [F.col(t).alias(names[0]), (F.col(b).cast("long") - by).alias(names[1]), (F.col(e).cast("long") + by).alias(names[2])]
+    of_left, of_right = places(lt, lb, le, ("_tid", "_lb", "_le"), gap), places(rt, rb, re, ("_rtid", "_rb", "_re"))
+    width = f"(BIGINT({BIN}) * CAST(pow({FACTOR}, _meet div 3) AS BIGINT))"
+    met = (F.col("_lb") < F.col("_re")) & (F.col("_rb") < F.col("_le")) & (F.expr(f"CAST(floor(greatest(_lb, _rb) / {width}) AS BIGINT)") == F.col("_bin"))
     if how == "inner":
-        out = a.join(b, on).drop(*extra)
-        return out.withColumnsRenamed({c: c[3:] for c in out.columns if c.startswith("_r_")})
-    hit = a.join(b, on, "left_semi").drop(*extra)
-    columns = [c for c in left.columns if c not in ("_lb", "_le")]
-    keys = hit.select(*columns).distinct()
-    same = [F.col(f"x.`{c}`").eqNullSafe(F.col(f"y.`{c}`")) for c in columns]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return left.select(*columns).alias("x").join(keys.alias("y"), condition, how)
+        helpers = ["_tid", "_lb", "_le", "_rtid", "_rb", "_re", "_meet", "_bin", "_rmeet", "_rbin"]
+        return candidates(left.select("*", *of_left), right.select("*", *of_right)).where(met).drop(*helpers)
+    columns = [F.col(f"`{c}`") for c in left.columns]
+    ident = [F.xxhash64(*columns).alias("_id1"), F.xxhash64(F.lit(1), *columns).alias("_id2")]
+    # whether any partner is met is all that counts, so right intervals that overlap are one, as far as blocks go
+    hulls = block_hulls(right.select(F.col(rt).alias("tid"), F.col(rb).alias("begin"), F.col(re).alias("end")), touching=True)
+    hit = candidates(left.select(*ident, *of_left), hulls.select(*places("tid", "begin", "end", ("_rtid", "_rb", "_re")))).where(met).select("_id1", "_id2").distinct()
+    return left.select("*", *ident).join(hit, ["_id1", "_id2"], how).select(*left.columns)
 
 
 def islands(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end", touching: bool = False, gap: int = 0) -> DataFrame:
@@ -95,15 +92,20 @@ def islands(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end"
     return df.withColumn("_new", apart.cast("long")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
 
 
+def block_hulls(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end", touching: bool = False, gap: int = 0) -> DataFrame:
+    """Hulls of the islands among the ranges that begin in each block of places, and how many ranges they have; hulls of different blocks may overlap."""
+    block = F.expr(f"`{begin}` div {BLOCK}")
+    local = islands(df.select(*keys, F.col(begin).alias("begin"), F.col(end).alias("end"), block.alias("_block")), (*keys, "_block"), touching=touching, gap=gap)
+    return local.groupBy(*keys, "_block", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island", "_block")
+
+
 def merged(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end", touching: bool = False, gap: int = 0) -> DataFrame:
     """One row for each island: its hull and how many ranges it has.
 
     Ranges are merged within blocks of places first, so that a contig's task sees hulls, not ranges: later blocks begin
     later, so merging their hulls in order gives the same islands.
     """
-    block = F.expr(f"`{begin}` div {BLOCK}")
-    local = islands(df.select(*keys, F.col(begin).alias("begin"), F.col(end).alias("end"), block.alias("_block")), (*keys, "_block"), touching=touching, gap=gap)
-    hulls = local.groupBy(*keys, "_block", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island", "_block")
+    hulls = block_hulls(df, keys, begin, end, touching, gap)
     return islands(hulls, keys, touching=touching, gap=gap).groupBy(*keys, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 

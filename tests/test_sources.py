@@ -10,10 +10,10 @@ from helixloom.sources import bam, text
 from helixloom.streaming import depth
 
 SAM = """@HD\tVN:1.6
-@SQ\tSN:chrFoo\tLN:5000
-@SQ\tSN:chrBar\tLN:4000
+@SQ\tSN:ctgOne\tLN:5000
+@SQ\tSN:ctgTwo\tLN:4000
 @RG\tID:1\tSM:my sample
-r1\t99\tchrFoo\t101\t60\t10M\t=\t201\t110\tACGTACGTAC\tIIIIIIIIII\tNM:i:1\tSA:Z:chrBar,1,+,5M,60,0;
+r1\t99\tctgOne\t101\t60\t10M\t=\t201\t110\tACGTACGTAC\tIIIIIIIIII\tNM:i:1\tSA:Z:ctgTwo,1,+,5M,60,0;
 r2\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\t*
 """
 
@@ -27,10 +27,10 @@ def sam(tmp_path):
 
 def test_sam_round_trip(spark, sam, tmp_path):
     contigs = text.sam_contigs(spark, sam)
-    assert [tuple(r) for r in contigs.collect()] == [(0, "chrFoo", 5000), (1, "chrBar", 4000)]
+    assert [tuple(r) for r in contigs.collect()] == [(0, "ctgOne", 5000), (1, "ctgTwo", 4000)]
     rows = {r.qname: r for r in text.read_sam(spark, sam, contigs, 2).collect()}
     r = rows["r1"]
-    assert (r.flag, r.sample, r.tid, r.pos0, r.mapq, r.cigar, r.mate_tid, r.mate_pos0, r.tlen, r.sa, r.qual[0], r.tags["NM"]) == (99, 2, 0, 100, 60, "10M", 0, 200, 110, "chrBar,1,+,5M,60,0;", 40, "i:1".split(":")[1])
+    assert (r.flag, r.sample, r.tid, r.pos0, r.mapq, r.cigar, r.mate_tid, r.mate_pos0, r.tlen, r.sa, r.qual[0], r.tags["NM"]) == (99, 2, 0, 100, 60, "10M", 0, 200, 110, "ctgTwo,1,+,5M,60,0;", 40, "i:1".split(":")[1])
     assert rows["r2"].tid is None and rows["r2"].qual == []
     text.write_sam(text.read_sam(spark, sam, contigs), str(tmp_path / "out"), contigs)
     back = text.read_sam(spark, str(tmp_path / "out"), contigs)
@@ -73,7 +73,7 @@ def block(data: bytes) -> bytes:
 
 
 def make_bam(path, n=500):
-    out = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 1) + struct.pack("<i", 7) + b"chrFoo\0" + struct.pack("<i", 5000)
+    out = b"BAM\1" + struct.pack("<i", 4) + b"@HD\n" + struct.pack("<i", 1) + struct.pack("<i", 7) + b"ctgOne\0" + struct.pack("<i", 5000)
     for i in range(n):
         name = f"r{i}".encode() + b"\0"
         body = struct.pack("<iiBBHHHiiii", 0, i, len(name), 60, 0, 1, 99, 5, 0, i + 100, 105) + name + struct.pack("<I", 5 << 4) + bytes([0x12, 0x48, 0x10]) + bytes([30] * 5)
@@ -91,7 +91,7 @@ def test_bam_source(spark, tmp_path):
     assert df.count() == 503 and df.select("sample").distinct().count() == 2
     r = df.where("qname = 'r7' AND sample = 0").first()
     assert (r.pos0, r.cigar, r.seq, r.qual, r.sa, r.tags["NM"], r.tags["ZB"], r.mate_pos0) == (7, "5M", "ACGTA", [30] * 5, "chr,1,+,5M,9,0;", "1", "C,1,2", 107)
-    assert bam.contigs(str(tmp_path / "a.bam")) == [("chrFoo", 5000)] and bam.header_text(str(tmp_path / "a.bam")) == "@HD\n"
+    assert bam.contigs(str(tmp_path / "a.bam")) == [("ctgOne", 5000)] and bam.header_text(str(tmp_path / "a.bam")) == "@HD\n"
 
 
 def test_streams(spark, tmp_path):
@@ -138,7 +138,7 @@ def test_workflow_finds_a_planted_deletion(spark):
     for i, start in enumerate(range(0, 40_000, 20)):
         pair(i, start, rng.randrange(180, 320))
     reads = spark.createDataFrame(rows, "qname string, flag int, sample int, tid int, pos0 int, mapq int, cigar string, mate_tid int, mate_pos0 int, tlen int, seq string, qual array<int>, sa string, mc string, tags map<string,string>")
-    contigs = spark.createDataFrame([(0, "chrFoo", 60_000)], "tid int, label string, length int")
+    contigs = spark.createDataFrame([(0, "ctgOne", 60_000)], "tid int, label string, length int")
     got = workflow.run(reads, contigs).collect()
     assert len(got) == 1 and got[0].alt == "<DEL>" and abs(got[0].pos - at) < 400 and "IMPRECISE" in got[0].info
     assert got[0].qual > 50 and got[0].filter == [] and got[0].format == "GT:FT:GQ:PL:PR:SR" and got[0].samples[0].startswith("1/1:PASS")
@@ -175,8 +175,8 @@ def test_workflow_refines_a_small_deletion(spark):
         for flag, p, c, s, m, t in ((99, a, ca, sa, b, tlen), (147, b, cb, sb, a, -tlen)):
             rows.append((f"f{i}", flag, 0, 0, p, 60, c, 0, m, t, s, [30] * len(s), None, None, {}))
     reads = spark.createDataFrame(rows, "qname string, flag int, sample int, tid int, pos0 int, mapq int, cigar string, mate_tid int, mate_pos0 int, tlen int, seq string, qual array<int>, sa string, mc string, tags map<string,string>")
-    contigs = spark.createDataFrame([(0, "chrFoo", 12_000)], "tid int, label string, length int")
-    pieces = text.chunked(spark.createDataFrame([("chrFoo", ref)], "label string, bases string"), contigs, margin=20_000)
+    contigs = spark.createDataFrame([(0, "ctgOne", 12_000)], "tid int, label string, length int")
+    pieces = text.chunked(spark.createDataFrame([("ctgOne", ref)], "label string, bases string"), contigs, margin=20_000)
     got = workflow.run(reads, contigs, pieces=pieces).collect()
     assert len(got) == 1
     r = got[0]
