@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 from . import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries of a worker's memory of pieces and of token pairs; beyond it the memory starts anew. A piece longer than LONG is not kept.
-PIECES, PAIRS, LONG = 120_000, 200_000, 48
+#: Bytes of one generation of a worker's memory of pieces, and entries of one of token pairs. A piece longer than LONG is not kept.
+PIECE_BYTES, PAIRS, LONG = 48 << 20, 200_000, 48
 _NEVER = 1 << 60
 
 # Letters and numbers that the installed regex module knows and Unicode 16, which the tokenizer libraries follow, does not.
@@ -44,8 +45,23 @@ _LATER_LETTERS = (
 _LATER_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
 
 
+def _ranges(chars: list[str]) -> str:
+    """A class's inside for the standard re module: the characters as ranges."""
+    out, codes = [], sorted(map(ord, chars))
+    start = 0
+    for i in range(1, len(codes) + 1):
+        if i == len(codes) or codes[i] != codes[i - 1] + 1:
+            out.append(f"\\u{codes[start]:04x}-\\u{codes[i - 1]:04x}")
+            start = i
+    return "".join(out)
+
+
 class Splitter:
-    """Splits a text into the pieces that are encoded separately."""
+    """Splits a text into the pieces that are encoded separately.
+
+    Texts within the basic plane, nearly all, go through the standard re module, which is twice as fast with its
+    classes written out; the classes are taken from the regex module, less the later letters and numbers.
+    """
 
     def __init__(self, pattern: str = public_tokenizers.PATTERN):
         self.plain = regex.compile(pattern)
@@ -53,9 +69,41 @@ class Splitter:
         exact = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\p{L}\p{N}]|LATER)").replace(r" ?\p{L}+", r" ?(?:(?!LATER)\p{L})+").replace(r" ?\p{N}+", r" ?(?:(?!LATER)\p{N})+")
         self.exact = regex.compile(exact.replace("LATER", later))
         self.later = regex.compile(later)
+        plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+        letters, numbers = ([c for c in regex.findall(k, plane) if not self.later.match(c)] for k in (r"\p{L}", r"\p{N}"))
+        spaces = regex.findall(r"\s", plane)
+        basic = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_ranges(letters + numbers + spaces)}]").replace(r"\p{L}", f"[{_ranges(letters)}]").replace(r"\p{N}", f"[{_ranges(numbers)}]")
+        basic = basic.replace(r"\S", f"[^{_ranges(spaces)}]").replace(r"\s", f"[{_ranges(spaces)}]")
+        self.basic = re.compile(basic)
 
     def __call__(self, text: str) -> list[str]:
-        return (self.plain if text.isascii() or not self.later.search(text) else self.exact).findall(text)
+        if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text):
+            return self.basic.findall(text)
+        return (self.exact if self.later.search(text) else self.plain).findall(text)
+
+
+class Memory(dict):
+    """What is known of pieces, in two generations: when the young one is full it becomes the old one, so frequent
+    pieces stay. Bounded by bytes, whatever the pieces' number. make gives what is not known yet."""
+
+    def __init__(self, make, weigh, limit: int = PIECE_BYTES):
+        super().__init__()
+        self.make, self.weigh, self.limit = make, weigh, limit
+        self.old: dict = {}
+        self.held = 0
+
+    def __missing__(self, piece: str):
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= LONG:
+            self.held += 180 + len(piece) + self.weigh(found)  # about what two objects and their place in a dict take
+            if self.held >= self.limit:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[piece] = found
+        return found
 
 
 class Merges:
@@ -71,6 +119,7 @@ class Merges:
         self.left, self.right = list(range(len(tokens))), list(range(len(tokens)))
         self.joined: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         for i in range(256, len(tokens)):
             self.left[i], self.right[i] = halves[i - 256] if halves else self._halves(i)
             self.joined.setdefault(self.left[i] << 20 | self.right[i], i)
@@ -128,15 +177,18 @@ class Merges:
         key = a << 20 | b
         found = self.pairs.get(key)
         if found is None:
+            found = self.older_pairs.get(key)
+            if found is None:
+                found = self._apart(a, b)
             if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self._apart(a, b)
+                self.older_pairs, self.pairs = self.pairs, {}
+            self.pairs[key] = found
         return found
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Entries (not ids) of one piece."""
         whole = self.index.get(data)
-        if whole is not None and len(data) == 1:
+        if whole is not None:
             return [whole]
         n, length, shorter, compatible = len(data), self.length, self.shorter, self.compatible
         longest = [0] * n
@@ -160,29 +212,14 @@ class Merges:
         return out
 
 
-class _Packed(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, merges: Merges):
-        super().__init__()
-        self.merges, self.ids = merges, np.array(merges.ids, dtype="<u4")
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.ids[self.merges.encode_piece(piece.encode("utf-8", "replace"))].tobytes()
-        if len(piece) <= LONG:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Codec:
     """Encodes and decodes texts by one rank file; one is kept in each Python worker."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.merges = Merges.from_ranks(path)
         self.split = Splitter(pattern)
-        self.packed = _Packed(self.merges)
+        names = np.array(self.merges.ids, dtype="<u4")
+        self.packed = Memory(lambda piece: names[self.merges.encode_piece(piece.encode("utf-8", "replace"))].tobytes(), len)
         self.bytes_of = dict(zip(self.merges.ids, self.merges.tokens))
 
     def encode(self, text: str | None) -> bytes:

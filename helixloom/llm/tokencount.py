@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .bpe import LONG, PIECES, Merges, Splitter
+from .bpe import Memory, Merges, Splitter
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -55,29 +55,13 @@ def load_json(path: str) -> tuple[Merges, list[str]]:
     return Merges(tokens, ids, halves), [t["content"] for t in whole["added_tokens"]]
 
 
-class _Counts(dict):
-    """Piece to its number of tokens."""
-
-    def __init__(self, counter: Counter):
-        super().__init__()
-        self.counter = counter
-
-    def __missing__(self, piece: str) -> int:
-        n = self.counter.table(piece.encode("utf-8", "replace"))[-1]
-        if len(piece) <= LONG:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = n
-        return n
-
-
 class Counter:
     """Counts tokens of texts and of all their prefixes."""
 
     def __init__(self, path: str):
         self.merges, self.special = load_json(path)
         self.split = Splitter()
-        self.counts = _Counts(self)
+        self.counts = Memory(lambda piece: self.table(piece.encode("utf-8", "replace"))[-1], lambda n: 0)
 
     def table(self, data: bytes) -> list[int]:
         """count[i] for i from 0 to len(data), of one piece."""
