@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,8 @@ THRESHOLD, NEAR = 0.7, 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match can only start where a run of digits does, and runs need no second try, so long runs cost their length
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -112,9 +114,17 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     text = text or ""
     out = base_spans(text) | {k: [] for k in ADDED}
     if _DIGIT.search(text):
-        taken = sorted(x for k in BASE for x in out[k])
+        starts, ends = [], []  # the base spans, those that meet as one
+        for a, b in sorted(x for k in BASE for x in out[k]):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
         for kind, start, end, confirmed in _proposals(text):
-            if not any(a < end and start < b for a, b in taken) and score(text, kind, start, end, confirmed) >= THRESHOLD - 1e-9:
+            after = bisect_right(ends, start)
+            free = after == len(starts) or starts[after] >= end
+            if free and score(text, kind, start, end, confirmed) >= THRESHOLD - 1e-9:
                 out[kind].append((start, end))
     return out
 
