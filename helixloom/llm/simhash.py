@@ -5,7 +5,8 @@ the Manhattan distance of two vectors is never above the Hamming distance of the
 laid on a grid whose axes are the segments in BLOCKS blocks. Two vectors at distance of at most RADIUS differ
 in at most RADIUS blocks, so they share a grid cell in some choice of BLOCKS - RADIUS blocks: each fingerprint
 enters one cell for each choice, and cells are joined on equality. Within a cell, fingerprints are sorted by
-total bit count, compared within the lower bound, and verified by the exact Hamming distance.
+total bit count; those within the bound of it are compared by the Manhattan distance of all 32 counts, a lower bound
+too, and then verified by the exact Hamming distance.
 
 Equal fingerprints are one node. A cell yields a spanning forest of its links, not all its pairs. A cell of more
 than CELL fingerprints is dealt out as pairs of blocks of its rows, each pair to its own group, so no task
@@ -31,6 +32,7 @@ from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = 8
+_LOW = np.uint64(0x5555555555555555)
 #: Most fingerprints of a cell that are compared in one group; larger cells are dealt out in blocks of this size.
 CELL = 2048
 
@@ -85,10 +87,24 @@ def cells(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataF
     return nodes.select(F.posexplode(F.array(*[F.col("counts").bitwiseAND(F.lit(m).cast("long")) for m in _masks(blocks, radius)])).alias("choice", "cell"), "fp")
 
 
+def embedded(fps: np.ndarray) -> np.ndarray:
+    """The embedding, packed: the two-bit fields are the segments' bit counts."""
+    low, high = fps & _LOW, (fps >> np.uint64(1)) & _LOW
+    return (low ^ high) | ((low & high) << np.uint64(1))
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Manhattan distance of packed counts: fields that differ by one have their low bits unlike, 0 and 2 do not."""
+    x = a ^ b
+    one = x & _LOW
+    two = (x >> np.uint64(1)) & _LOW & ~one
+    return np.bitwise_count(one).astype(np.int16) + 2 * np.bitwise_count(two)
+
+
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (by place in fps, which rises by bit count) that connect just what links of at most radius bits connect."""
     n = len(fps)
-    ones = np.bitwise_count(fps).astype(np.int16)
+    ones, counts = np.bitwise_count(fps).astype(np.int16), embedded(fps)
     left = np.arange(n)  # not reached yet
     out: list[tuple[int, int]] = []
     while len(left) > 1:
@@ -97,6 +113,7 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             at = queue.pop()
             lo, hi = np.searchsorted(ones[left], (ones[at] - radius, ones[at] + radius + 1))
             near = left[lo:hi]
+            near = near[manhattan(counts[near], counts[at]) <= radius]
             near = near[np.bitwise_count(fps[near] ^ fps[at]) <= radius]
             if len(near):
                 out += [(at, int(x)) for x in near]
@@ -172,16 +189,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near duplicates: of each component the document with the least doc_id (then version) stays, once."""
-    return least_of_each(docs, near_duplicates(docs.select("doc_id", "text"), **options))
-
-
-def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of each root of found (doc_id, version, root) the row of docs with the least doc_id (then version), once."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("least")
-    stays = found.groupBy("root").agg(least).select(F.col("least.doc_id").alias("_doc"), F.col("least.version").alias("_version"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version"))
-    rows = docs.join(stays.distinct(), same, "left_semi")
-    return rows.withColumn("_version", F.xxhash64("text")).dropDuplicates(["doc_id", "_version"]).select(*docs.columns)
+    return common.least_of_each(docs, near_duplicates(docs.select("doc_id", "text"), **options))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
