@@ -9,25 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import bpe, common, decontam, pii, quality, resemblance
+from helixloom.llm import bpe, common, decontam, pii, quality, similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their host's rate reject go."""
-    rows, moved = common.aside(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return common.restored(quality.judge(rows).where("kept"), moved, docs.columns)
+    rows = common.boxed(docs, F.col("text"), F.col("source"))
+    return common.unboxed(quality.judge(rows, text=False).where("kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (Jaccard similarity of five-word shingles of 0.8 or more) stays."""
-    return resemblance.one_of_each(docs)
+    return similar.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    rows, moved = common.aside(docs, "n_words", "hit_words", "hit_items")
-    found = decontam.hits(rows, common.read(spark, sf_dir, "benchmark", "item_id", "text"))
-    return common.restored(found.where(F.size("hit_words") == 0), moved, docs.columns)
+    return decontam.clean(docs, common.read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,12 +89,48 @@ def text_key(text: F.Column) -> F.Column:
     return F.when(text.isNull(), F.lit("null")).otherwise(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
-    """df with columns of these names put under other names, and those: for operators that add columns of these names."""
-    moved = {n: f"__kept_{n}" for n in df.columns if n.lower() in {x.lower() for x in names}}
-    return df.withColumnsRenamed(moved), moved
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, each made longer until no column of df has it."""
+    known, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        out.append(name)
+    return out
 
 
-def restored(df: DataFrame, moved: dict[str, str], columns: list[str]) -> DataFrame:
-    """The named columns, with those put aside under their own names again."""
-    return df.select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in columns])
+def boxed(df: DataFrame, *extra: F.Column) -> DataFrame:
+    """All columns of df in one struct named row, with other columns beside it, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *extra)
+
+
+def unboxed(df: DataFrame, columns: list[str], *extra: F.Column) -> DataFrame:
+    """The named columns out of row, and others."""
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], *extra)
+
+
+#: Most rows of a decision about documents, or most array entries in one, that are sent to all tasks (some tens of MB), counted first; more are joined by shuffling.
+DECISIONS = 500_000
+
+
+def few(df: DataFrame, places: bool = False) -> DataFrame:
+    """df (stored), marked for broadcast if it is counted small. places: count what its arrays hit_words and hit_items hold, too."""
+    n = df.agg(F.sum(F.size("hit_words") + F.size("hit_items") + 1)).first()[0] if places else df.count()
+    return F.broadcast(df) if (n or 0) <= DECISIONS else df
+
+
+def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each root of found (doc_id, version, root) the row of docs with the least doc_id (then version), once.
+
+    What goes is decided without the texts: a document that is not its root's least, and all but one row of repeated ones.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    rows = found.groupBy("root", key.alias("key")).agg(F.count("*").alias("n"))
+    least = rows.groupBy("root").agg(F.min("key").alias("least"))
+    marked = rows.join(least, "root").select("key", (F.col("key") != F.col("least")).alias("goes"), F.col("n") > 1)
+    marked = marked.toDF("key", "goes", "repeated").where("goes OR repeated")
+    marked = stored(marked.select(F.col("key.doc_id").alias("id"), F.col("key.version").alias("v"), "goes"), "decisions")
+    boxes = boxed(docs, F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_text"))
+    joined = boxes.join(few(marked), F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("v")), "left")
+    once = joined.where(~F.col("goes")).dropDuplicates(["of_id", "of_text"])
+    return unboxed(joined.where("goes IS NULL").unionAll(once), docs.columns)

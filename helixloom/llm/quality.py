@@ -30,27 +30,28 @@ def measured(docs: DataFrame) -> DataFrame:
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     docs = docs.drop(*own)
     keep, text = [F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col("text"), F.lit(""))
+    word_list, line_list, window_list, place_list = common.fresh(docs, "_words", "_lines", "_windows", "_at")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     first = docs.select(
         *keep,
-        common.text_words(F.col("text")).alias("_words"),
-        lines.alias("_lines"),
+        common.text_words(F.col("text")).alias(word_list),
+        lines.alias(line_list),
         (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
     )
-    words, n = F.col("_words"), F.size("_words")
+    words, n = F.col(word_list), F.size(word_list)
     windows = F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
     second = first.select(
         *keep,
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(windows).alias("_windows"),
+        (F.size(line_list) - F.size(F.array_distinct(line_list))).cast("long").alias("n_dup_lines"),
+        F.sort_array(windows).alias(window_list),
     )
-    w = F.col("_windows")
+    w = F.col(window_list)
     same = F.filter(w, lambda x, i: (F.get(w, i - 1)["h"].eqNullSafe(x["h"])) | (F.get(w, i + 1)["h"].eqNullSafe(x["h"])))
-    third = second.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.sort_array(F.transform(same, lambda x: x["i"])).alias("_at"))
-    at = F.col("_at")
+    third = second.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.sort_array(F.transform(same, lambda x: x["i"])).alias(place_list))
+    at = F.col(place_list)
     covered = F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
     return third.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words")).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT)
@@ -74,11 +75,13 @@ def judge(docs: DataFrame, host_limit: float = HOST_LIMIT, text: bool = True) ->
     """
     rows = measured(docs)
     rows = common.stored(rows if text else rows.drop("text"), "quality")
-    rejected = host_rates(rows).where(F.col("rate") > host_limit).select(F.col("source").alias("_host"), F.lit(True).alias("_rejected"))
+    rows = rows.drop("kept")
+    host, is_rejected = common.fresh(rows, "_host", "_rejected")
+    rejected = host_rates(rows).where(F.col("rate") > host_limit).select(F.col("source").alias(host), F.lit(True).alias(is_rejected))
     # a counted few are sent to all tasks, so that texts stay where they are; more are joined by shuffling
     rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_HOSTS else rejected
-    rows = rows.drop("kept").join(rejected, F.col("source") == F.col("_host"), "left")
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("_rejected").isNull()).drop("_host", "_rejected")
+    rows = rows.join(rejected, F.col("source") == F.col(host), "left")
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col(is_rejected).isNull()).drop(host, is_rejected)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

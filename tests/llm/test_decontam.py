@@ -38,8 +38,8 @@ def made(seed):
 
 
 def test_hits_equal_brute_force(spark, monkeypatch):
-    for seed, block in ((1, decontam.BLOCK_BYTES), (2, 300)):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    for seed, bits in ((1, decontam.MAP_BITS), (2, 1 << 15)):  # the small map lets most places through
+        monkeypatch.setattr(decontam, "MAP_BITS", bits)
         docs, items = made(seed)
         d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_words int")
         b = spark.createDataFrame(items, "item_id long, text string")

@@ -10,7 +10,7 @@ import tiktoken
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import test_decontam  # noqa: E402
 import test_quality  # noqa: E402
-import test_simhash  # noqa: E402
+import test_similar  # noqa: E402
 
 from helixloom.llm import pii  # noqa: E402
 
@@ -24,7 +24,7 @@ def plain(docs, items):
         n, _, _, _, repeat = test_quality.plain(d[1])
         if n >= 50 and 2 * repeat <= n:
             kept.append(d)
-    roots = test_simhash.plain_components([test_simhash.plain_fingerprint(d[1]) for d in kept])
+    roots = test_similar.plain_components([d[1] for d in kept])
     least = {}
     for d, r in zip(kept, roots):
         least[r] = min(least.get(r, d), d)
@@ -59,3 +59,17 @@ def test_odd_rows_and_columns(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
+
+
+CLASHING = ["_version", "_doc", "_words", "_lines", "_windows", "_at", "_host", "_rejected", "_bytes", "row", "root", "node", "print", "k1", "of_id", "of_text", "goes", "id", "v", "hit_words", "token", "version", "key"]
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, long if i % 3 else f"{long} tail {i} of it all", "a", *[f"{c}{i}" for c in CLASHING]) for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "source", *CLASHING, "token_ids", "n_tokens"]
+    for r in got.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHING)
