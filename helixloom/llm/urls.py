@@ -102,7 +102,10 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
     source = pages
     pages = ruled(parsed(pages.select(F.col(key), F.col(url).alias("url")), "url"), rules).withColumn("shape", shape(F.col("path")))
     hosts = pages.select("host").distinct()
-    words = common.stored(segmented(hosts, word_counts(source.select(F.col(html).alias("html")))), "host-words")
+    # stored tables: the html is split once, and joins whose sides come straight from a shuffle can be split where a key is hot
+    counts = common.stored(word_counts(source.select(F.col(html).alias("html"))), "word-counts")
+    words = common.stored(segmented(hosts, counts), "host-words")
+    common.forget(counts)
     host_tokens = words.select("host", F.explode(F.transform("words", lambda w: F.concat(F.lit("host "), w))).alias("token"))
     shapes = pages.select("shape").distinct()
     shape_tokens = shapes.select("shape", F.explode(F.transform(F.filter(F.split("shape", " "), lambda x: x != ""), lambda w: F.concat(F.lit("path "), w))).alias("token"))
@@ -118,8 +121,8 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", k
     prior = math.log(n_block / n_allow) if both else -1.0
     odds = F.log((F.col("block") + SMOOTHING) / F.lit(float((all_block or 0) + SMOOTHING * (k or 1)))) - F.log((F.col("allow") + SMOOTHING) / F.lit(float((all_allow or 0) + SMOOTHING * (k or 1))))
     odds = tokens.select("token", (odds if both else F.lit(0.0)).alias("odds"))
-    score = lambda rows, by: rows.join(odds, "token").groupBy(by).agg(F.sum(F.round("odds", 9)).alias(f"{by}_odds"))
-    by_host = words.join(score(host_tokens, "host"), "host", "left")
+    score = lambda rows, by: common.stored(rows.join(odds, "token").groupBy(by).agg(F.sum(F.round("odds", 9)).alias(f"{by}_odds")), f"{by}-scores")
+    by_host = common.stored(words.join(score(host_tokens, "host"), "host", "left"), "hosts")
     total = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("shape_odds", F.lit(0.0))
     found = pages.join(by_host, "host", "left").join(score(shape_tokens, "shape"), "shape", "left")
     return found.select(
