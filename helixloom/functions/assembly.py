@@ -5,6 +5,8 @@ A locus has at most MAX_READS reads, so each locus is assembled by one call; loc
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import re
 from dataclasses import dataclass, field
 
@@ -214,11 +216,11 @@ def small(reads: list[str], options: Options = Options()) -> list[Contig]:
 
 
 def assembled(reads: DataFrame, keys=("locus", "n1", "n2"), seq: str = "seq", options: Options = Options(), method=iterative) -> DataFrame:
-    """contig, n_support, n_reject and bases of each group's contigs. Of a group with more than MAX_READS reads the first by name count."""
+    """contig, n_support, n_reject and bases of each group's contigs. Of a group with more than MAX_READS reads those with the least hashes are used, a fixed choice that favours no base or place."""
     types = [reads.schema[k].dataType.simpleString() for k in keys]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(pdf[seq].dropna().tolist())[:MAX_READS]
+        own = sorted(sorted(pdf[seq].dropna().tolist(), key=lambda x: (crc32(x.encode()), x))[:MAX_READS])
         rows = [(*key, n, len(c.support), len(c.reject), c.seq) for n, c in enumerate(method(own, options))]
         return pd.DataFrame(rows, columns=[*keys, "contig", "n_support", "n_reject", "bases"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,7 @@ def ramp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / F.lit(float(high - low))))
 
 
+@lru_cache(maxsize=100_000)
 def _tail(k: int, n: int, p: float) -> float:
     """P(X >= k) of a binomial, summed from its smaller side."""
     if k <= 0:

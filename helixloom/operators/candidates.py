@@ -6,15 +6,18 @@ order of place; an edge's fragments are bounded by the caps of the search. Every
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import prob
 from ..schema import COMPLEX, LEFT_OPEN, RIGHT_OPEN
 from . import intervals
 
-#: Most fragments of an edge that are clustered; further ones only add to fragments already there.
+#: Most fragments of an edge that are clustered; of more, those with the least hashes of their names, a fixed choice that favours no place.
 MAX_FRAGMENTS = 4000
 COMPLEX_ALPHA, SPANNING_ALPHA = 0.005, 0.03
 
@@ -94,7 +97,7 @@ def regrouped(found: DataFrame, keys=("locus", "n1", "n2")) -> DataFrame:
 
 _CANDIDATE = (
     "locus long, n1 long, n2 long, cand int, bp1_state int, bp1_tid int, bp1_begin long, bp1_end long, bp2_state int, bp2_tid int, bp2_begin long, bp2_end long, "
-    "n_fragments long, n_pair long, n_split long, n_indel long, n_semi long, spans array<long>"
+    "n_fragments long, n_pair long, n_split long, n_indel long, n_semi long, evidence array<struct<sample:int,bp:int,tid:int,pos:long>>"
 )
 
 
@@ -112,6 +115,12 @@ def _grow(c: dict, o: dict, swap: bool) -> None:
             c[f"{x}_begin"], c[f"{x}_end"] = min(c[f"{x}_begin"], o[f"{y}_begin"]), max(c[f"{x}_end"], o[f"{y}_end"])
 
 
+def _told(o: dict, straight: bool) -> dict:
+    """The observation with the places of the reads that speak for its candidate's first and second breakend."""
+    at = ((o["r1_tid"], o["r1_pos"]), (o["r2_tid"], o["r2_pos"]))
+    return o | {"at": at if straight else at[::-1]}
+
+
 def cluster_edge(rows: list[dict]) -> list[dict]:
     """Candidates of one edge: each observation joins the first candidate that it matches, either way round, or starts one.
 
@@ -123,25 +132,25 @@ def cluster_edge(rows: list[dict]) -> list[dict]:
             straight = _touch(c, o, "bp1", "bp1") and _touch(c, o, "bp2", "bp2")
             if straight or (_touch(c, o, "bp1", "bp2") and _touch(c, o, "bp2", "bp1")):
                 _grow(c, o, not straight)
-                c["members"].append(o | {"at": o["bp1_begin" if straight else "bp2_begin"]})
+                c["members"].append(_told(o, straight))
                 break
         else:
-            found.append({k: o[k] for k in o if k.startswith("bp")} | {"members": [o | {"at": o["bp1_begin"]}]})
-    merged = True
-    while merged:
-        merged = False
-        for i in range(len(found)):
-            for j in range(i + 1, len(found)):
-                a, b = found[i], found[j]
-                straight = _touch(a, b, "bp1", "bp1") and _touch(a, b, "bp2", "bp2")
-                if straight or (_touch(a, b, "bp1", "bp2") and _touch(a, b, "bp2", "bp1")):
-                    _grow(a, b, not straight)
-                    a["members"] += b["members"]
-                    del found[j]
-                    merged = True
-                    break
-            if merged:
-                break
+            found.append({k: o[k] for k in o if k.startswith("bp")} | {"members": [_told(o, True)]})
+    i = 0
+    while i < len(found):
+        a, j, grown = found[i], i + 1, False
+        while j < len(found):
+            b = found[j]
+            straight = _touch(a, b, "bp1", "bp1") and _touch(a, b, "bp2", "bp2")
+            if straight or (_touch(a, b, "bp1", "bp2") and _touch(a, b, "bp2", "bp1")):
+                _grow(a, b, not straight)
+                a["members"] += [m if straight else m | {"at": m["at"][::-1]} for m in b["members"]]
+                del found[j]
+                grown = True
+            else:
+                j += 1
+        # one that grew may touch others now, those before it too
+        i = 0 if grown else i + 1
     return found
 
 
@@ -151,33 +160,69 @@ def clustered(found: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        names = pdf[["sample", "qname"]].drop_duplicates().head(MAX_FRAGMENTS)
+        names = pdf[["sample", "qname"]].drop_duplicates()
+        names = names.assign(h=[crc32(f"{a}/{b}".encode()) for a, b in zip(names["sample"], names["qname"])]).sort_values(["h", "sample", "qname"]).head(MAX_FRAGMENTS).drop(columns="h")
         pdf = pdf.merge(names, on=["sample", "qname"])
         out = []
         for k, c in enumerate(cluster_edge(pdf.to_dict("records"))):
             kinds = [m["ev_type"] for m in c["members"]]
             fragments = {(m["sample"], m["qname"]) for m in c["members"]}
-            places = sorted({(m["sample"], m["qname"]): m["at"] for m in c["members"]}.values())
+            places = sorted({(m["sample"], m["qname"], bp): (m["sample"], bp, *m["at"][bp - 1]) for m in c["members"] for bp in (1, 2) if c[f"bp{bp}_state"]}.values())
             n = lambda *t: sum(x in t for x in kinds)  # noqa: E731, B023
             row = {x: c[x] for x in c if x.startswith("bp")}
-            out.append({"locus": pdf["locus"].iloc[0], "n1": pdf["n1"].iloc[0], "n2": pdf["n2"].iloc[0], "cand": k, **row, "n_fragments": len(fragments), "n_pair": n("PAIR", "LOCAL_PAIR"), "n_split": n("SPLIT_ALIGN"), "n_indel": n("CIGAR"), "n_semi": n("SEMIALIGN", "SOFTCLIP"), "spans": places})
+            out.append({"locus": pdf["locus"].iloc[0], "n1": pdf["n1"].iloc[0], "n2": pdf["n2"].iloc[0], "cand": k, **row, "n_fragments": len(fragments), "n_pair": n("PAIR", "LOCAL_PAIR"), "n_split": n("SPLIT_ALIGN"), "n_indel": n("CIGAR"), "n_semi": n("SEMIALIGN", "SOFTCLIP"), "evidence": [dict(zip(("sample", "bp", "tid", "pos"), (int(x) for x in e))) for e in places]})
         return pd.DataFrame(out, columns=[x.split(" ")[0] for x in _CANDIDATE.split(", ")])
 
     return found.groupBy("locus", "n1", "n2").applyInPandas(run, _CANDIDATE)
 
 
-def with_significance(candidates: DataFrame, rates: DataFrame, alpha_complex: float = COMPLEX_ALPHA, alpha_spanning: float = SPANNING_ALPHA) -> DataFrame:
-    """Adds p_signal: the binomial tail of as many fragments as there are, in the shortest span that holds up to six of them.
+CANDIDATE = ["locus", "n1", "n2", "cand"]
+
+
+def read_places(reads: DataFrame) -> DataFrame:
+    """sample, tid, block, pos0, n (reads that start there) and before (reads of the sample in blocks before it) of reads."""
+    here = reads.groupBy("sample", "tid", F.expr(f"pos0 div {intervals.BLOCK}").alias("block"), "pos0").agg(F.count("*").alias("n"))
+    blocks = here.groupBy("sample", "tid", "block").agg(F.sum("n").alias("_n"))
+    along = Window.partitionBy("sample").orderBy("tid", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.select("sample", "tid", "block", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("before"))
+    return here.join(blocks, ["sample", "tid", "block"])
+
+
+def indexed(candidates: DataFrame, reads: DataFrame) -> DataFrame:
+    """Candidate keys, is_complex, sample, bp and index of each piece of evidence: how many reads of the sample start up to its place, over all contigs."""
+    rows = candidates.select(*CANDIDATE, is_complex().alias("is_complex"), F.explode("evidence").alias("e")).select(*CANDIDATE, "is_complex", "e.*")
+    rows = rows.withColumns({"block": F.expr(f"pos div {intervals.BLOCK}"), "kind": F.lit(1)}).withColumnRenamed("pos", "pos0")
+    places = read_places(reads).withColumn("kind", F.lit(0))
+    w = Window.partitionBy("sample", "tid", "block").orderBy("pos0", "kind")
+    both = rows.unionByName(places, allowMissingColumns=True)
+    up_to = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    before = F.max("before").over(Window.partitionBy("sample", "tid", "block"))
+    return both.withColumn("index", (up_to + F.coalesce(before, F.lit(0))).cast("long")).where("kind = 1").select(*CANDIDATE, "is_complex", "sample", "bp", "index")
+
+
+def signals(evidence: DataFrame, rates: DataFrame, window: int = 4) -> DataFrame:
+    """p_signal of each candidate: the least binomial tail over samples and breakends (the first one only of complex candidates).
 
-    rates is one row: anomalous_rate and assembly_rate of the run, and depth (reads for each base).
+    evidence has the candidate's keys, is_complex, sample, bp and index (columns of indexed). In each breakend's sorted
+    indexes the window + 1 that lie closest tell how many reads there are for window observations; fewer observations
+    than that count at most as many as there are reads, and a single one says nothing. rates has sample, anomalous_rate
+    and assembly_rate.
     """
-    w = F.least(F.lit(5), F.size("spans") - 1)
-    gaps = F.transform(F.slice("spans", 1, F.greatest(F.size("spans") - w, F.lit(0))), lambda x, i: F.get("spans", i + w) - x)
-    span = F.greatest(F.coalesce(F.array_min(gaps), F.lit(0)), F.lit(1))
-    out = candidates.join(F.broadcast(rates), F.lit(True)).withColumn("_rate", F.when(is_complex(), F.col("assembly_rate")).otherwise(F.col("anomalous_rate")))
-    trials = F.greatest(F.ceil(span * F.col("depth")).cast("long"), F.col("n_fragments"))
-    out = out.withColumn("p_signal", F.when(F.col("n_fragments") >= 2, prob.binomial_tail(F.least("n_fragments", (w + 1).cast("long")), trials, F.col("_rate"))).otherwise(1.0))
-    return out.drop("_rate", "anomalous_rate", "assembly_rate", "depth")
+    own = evidence.where("bp = 1 OR NOT is_complex").groupBy(*CANDIDATE, "is_complex", "sample", "bp").agg(F.sort_array(F.collect_list("index")).alias("_at"))
+    n = F.size("_at")
+    w = F.least(F.lit(window), n - 1)
+    gaps = F.transform(F.slice("_at", 1, F.greatest(n - w, F.lit(0))), lambda x, i: F.get("_at", i + w) - x)
+    own = own.where(n > 1).withColumn("_reads", F.array_min(gaps)).withColumn("_hits", F.least(w.cast("long"), F.col("_reads")))
+    own = own.join(F.broadcast(rates.select("sample", "anomalous_rate", "assembly_rate")), "sample")  # a row for each sample
+    rate = F.when(F.col("is_complex"), F.col("assembly_rate")).otherwise(F.col("anomalous_rate"))
+    p = F.when(F.col("_hits") > 0, prob.binomial_tail("_hits", "_reads", rate)).otherwise(1.0)
+    return own.withColumn("_p", p).groupBy(*CANDIDATE).agg(F.min("_p").alias("p_signal"))
+
+
+def with_significance(candidates: DataFrame, rates: DataFrame, reads: DataFrame) -> DataFrame:
+    """Adds p_signal from the candidates' evidence among the reads of each sample; 1 without any."""
+    found = signals(indexed(candidates, reads), rates)
+    return candidates.join(found, CANDIDATE, "left").withColumn("p_signal", F.coalesce("p_signal", F.lit(1.0)))
 
 
 def junction_filter() -> Column:

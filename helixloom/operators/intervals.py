@@ -137,7 +137,7 @@ def region_peak(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "
     return coverage(df, keys, begin, end, weight).groupBy(*keys).agg(F.max("depth").alias("peak"))
 
 
-def minimum_span(df: DataFrame, keys, position: str, window: int = 5) -> DataFrame:
+def minimum_span(df: DataFrame, keys, position: str, window: int = 4) -> DataFrame:
     """The shortest distance that window + 1 successive positions span (or all of them, if fewer), per key."""
     w = Window.partitionBy(*keys).orderBy(position)
     n = F.count("*").over(Window.partitionBy(*keys))

@@ -18,7 +18,7 @@ from ..schema import COMPLEX, LEFT_OPEN, RIGHT_OPEN, UNKNOWN
 from . import reads as R
 
 WEIGHT, CLOSE_WEIGHT = 3, 1
-COLUMNS = ["sample", "qname", "read_no", "ev_type", "bp1_state", "bp1_tid", "bp1_begin", "bp1_end", "bp2_state", "bp2_tid", "bp2_begin", "bp2_end", "w_local", "w_remote"]
+COLUMNS = ["sample", "qname", "read_no", "ev_type", "bp1_state", "bp1_tid", "bp1_begin", "bp1_end", "bp2_state", "bp2_tid", "bp2_begin", "bp2_end", "w_local", "w_remote", "r1_tid", "r1_pos", "r2_tid", "r2_pos"]
 
 
 def window(pos: Column, length: Column, size: int = 40) -> tuple[Column, Column]:
@@ -33,7 +33,10 @@ def _base(reads: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def _rows(df: DataFrame, ev_type: str, **columns) -> DataFrame:
-    out = df.withColumns({"ev_type": F.lit(ev_type), **columns})
+    # where the reads start that speak for each breakend: this one for both, but for pairs
+    second = ("mate_tid", "mate_pos0") if ev_type == "LOCAL_PAIR" else ("tid", "pos0")
+    reads = {"r1_tid": F.col("tid"), "r1_pos": F.col("pos0"), "r2_tid": F.col(second[0]), "r2_pos": F.col(second[1])}
+    out = df.withColumns({"ev_type": F.lit(ev_type), **columns, **reads})
     return out.select(*COLUMNS)
 
 

@@ -301,7 +301,7 @@ def stacked_pairs(df: DataFrame, keys, begin: str, end: str, size: Column) -> Da
 def inversions(records: DataFrame) -> DataFrame:
     """Breakend pairs on one contig that face the same way as single <INV> records, INV3 or INV5; the rest as it is."""
     paired = mates(records)
-    parts = F.regexp_extract("alt", r"[\[\]](.+):([0-9]+)[\[\]]", 2).cast("int")
+    parts = F.nullif(F.regexp_extract("alt", r"[\[\]](.+):([0-9]+)[\[\]]", 2), F.lit("")).cast("int")
     left_open = F.col("alt").rlike(r"^\[.*\[[ACGTN]+$")
     right_open = F.col("alt").rlike(r"^[ACGTN]+\].*\]$")
     rows = paired.withColumn("_mate_pos", parts).where((F.col("chrom") == F.col("m_chrom")) & (left_open | right_open)).withColumn("_inv", F.when(left_open, "INV5").otherwise("INV3"))
@@ -310,7 +310,7 @@ def inversions(records: DataFrame) -> DataFrame:
     end = F.col("_mate_pos") - shift
     start = F.col("pos") - shift
     rest = F.regexp_replace(F.col("info"), r"(?:^|;)(?:SVTYPE|MATEID|BND_DEPTH|MATE_BND_DEPTH|END|SVLEN)=[^;]*", "")
-    text = F.concat(F.lit("END="), end.cast("string"), F.lit(";SVTYPE=INV;SVLEN="), (end - start).cast("string"), F.lit(";"), F.col("_inv"), F.when(F.ltrim(F.lit(";"), rest) != "", F.concat(F.lit(";"), F.ltrim(F.lit(";"), rest))).otherwise(""))
+    text = F.concat(F.lit("END="), end.cast("string"), F.lit(";SVTYPE=INV;SVLEN="), (end - start).cast("string"), F.lit(";"), F.col("_inv"), F.when(F.ltrim(rest, F.lit(";")) != "", F.concat(F.lit(";"), F.ltrim(rest, F.lit(";")))).otherwise(""))
     made = first.withColumns({"info": text, "alt": F.lit("<INV>"), "pos": start.cast("int"), "id": F.regexp_replace("id", ":[01]$", "")}).select(*records.columns)
     gone = rows.select("id").unionAll(rows.select(info("MATEID").alias("id"))).distinct()
     return records.join(gone, "id", "left_anti").select(*records.columns).unionByName(made)
@@ -354,7 +354,7 @@ def large_enough(records: DataFrame, least: int) -> DataFrame:
 def within_contig(records: DataFrame, most: int) -> DataFrame:
     """Records that span at most `most` bases of one contig; pairs on two contigs stay."""
     other = F.regexp_extract("alt", r"[\[\]](.+):([0-9]+)[\[\]]", 1)
-    mate = F.regexp_extract("alt", r"[\[\]](.+):([0-9]+)[\[\]]", 2).cast("long")
+    mate = F.nullif(F.regexp_extract("alt", r"[\[\]](.+):([0-9]+)[\[\]]", 2), F.lit("")).cast("long")
     span = F.when(other != "", F.abs(mate - F.col("pos"))).otherwise(end_pos() - F.col("pos"))
     return records.where(((other != "") & (other != F.col("chrom"))) | (span <= most))
 

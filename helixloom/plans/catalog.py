@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar, prob, seq
-from ..operators import graph, intervals, partitioning, reads, scoring, stats, vcf
+from ..operators import candidates, graph, intervals, partitioning, reads, scoring, stats, vcf
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,8 +103,8 @@ def interval_center(spark, sf_dir):
     return spans(spark, sf_dir).select("event_id", intervals.center(F.col("begin"), F.col("end")).alias("center"))
 
 
-@query(f"""WITH {SPANS}, w AS (SELECT tid, count(*) OVER (PARTITION BY tid) AS n, "begin", lead("begin", 5) OVER (PARTITION BY tid ORDER BY "begin") AS ahead,
-  max("begin") OVER (PARTITION BY tid) - min("begin") OVER (PARTITION BY tid) AS whole FROM s) SELECT tid, min(CASE WHEN n <= 5 THEN whole ELSE ahead - "begin" END)::BIGINT AS min_span FROM w GROUP BY tid""")
+@query(f"""WITH {SPANS}, w AS (SELECT tid, count(*) OVER (PARTITION BY tid) AS n, "begin", lead("begin", 4) OVER (PARTITION BY tid ORDER BY "begin") AS ahead,
+  max("begin") OVER (PARTITION BY tid) - min("begin") OVER (PARTITION BY tid) AS whole FROM s) SELECT tid, min(CASE WHEN n <= 4 THEN whole ELSE ahead - "begin" END)::BIGINT AS min_span FROM w GROUP BY tid""")
 def min_span_window(spark, sf_dir):
     return intervals.minimum_span(spans(spark, sf_dir), ["tid"], "begin")
 
@@ -383,12 +383,13 @@ def edge_bins(spark, sf_dir):
     return graph.binned(edge_counts(spark, sf_dir), 16).select("n1", "n2", "bin")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_discount >= 0.095 AND l_tax >= 0.075 AND l_quantity > 40),
-  u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS label FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node WHERE r.label < u.b)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS a, n_regionkey + 1000 AS b FROM nation), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+  r AS (SELECT DISTINCT a AS node, a AS label FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node WHERE r.label < u.b)
   SELECT node, min(label) AS component FROM r GROUP BY node""")
 def graph_components(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_discount >= 0.095 AND l_tax >= 0.075 AND l_quantity > 40")
-    return graph.connected_components(l.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000).alias("b")))
+    """Components of nations and their regions: several hubs with their leaves."""
+    n = table(spark, sf_dir, "nation")
+    return graph.connected_components(n.select(F.col("n_nationkey").alias("a"), (F.col("n_regionkey") + 1000).alias("b")))
 
 
 # no SQL: a recursive query keeps a row for each node and label that reaches it; tests/test_components.py compares with a union-find
@@ -401,7 +402,9 @@ def graph_components_all(spark, sf_dir):
 
 @query("SELECT l_orderkey, count(*) AS n, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS members FROM lineitem GROUP BY 1")
 def fragment_regroup(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("l_linenumber")), ",").alias("members"))
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("read_no"), F.lit(0).alias("sample"), F.col("l_orderkey").cast("string").alias("qname"))
+    out = candidates.regrouped(found, keys=("l_orderkey",))
+    return out.select("l_orderkey", F.size("observations").cast("long").alias("n"), F.array_join(F.transform("observations", lambda o: o["read_no"].cast("string")), ",").alias("members"))
 
 
 def records(spark, sf_dir):

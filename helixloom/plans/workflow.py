@@ -83,12 +83,11 @@ def build_graph(ready: DataFrame, contigs: DataFrame, options: Options = Options
     return found, G.without_empty_nodes(nodes, pairs), pairs
 
 
-def call_candidates(found: DataFrame, nodes: DataFrame, pairs: DataFrame, counts: DataFrame, options: Options = Options()) -> DataFrame:
-    """Candidates of all bidirectional or self edges, tested, filtered and grouped to events."""
+def call_candidates(found: DataFrame, nodes: DataFrame, pairs: DataFrame, counts: DataFrame, reads: DataFrame, options: Options = Options()) -> DataFrame:
+    """Candidates of all bidirectional or self edges, tested against the reads of their samples, filtered and grouped to events."""
     use = G.without_hub_edges(pairs.where(G.bidirectional(options.threshold)))
     own = C.clustered(observations.collapsed_near_indels(C.of_edge(observations.fragments(found), nodes, use)))
-    rates = stats.noise_rates(counts.agg(*[F.sum(c).alias(c) for c in ("total", "anom", "split", "anom_and_split", "assm", "remote")])).select("anomalous_rate", "assembly_rate", F.lit(0.5).alias("depth"))
-    marked = C.filtered(C.with_significance(own, rates))
+    marked = C.filtered(C.with_significance(own, stats.noise_rates(counts), reads))
     events = C.event_filter(C.junction_pairs(marked), options.min_spanning)
     return events.where(C.is_complex() | ~C.below_size(options.min_size)).withColumn("kind", C.sv_type())
 
@@ -124,7 +123,7 @@ def run(reads: DataFrame, contigs: DataFrame, options: Options = Options(), piec
     ready = prepared(reads, histogram, options)
     counts = R.sample_counts(R.evidence(ready.where(~R.mapped_filtered()), options.reads), options.reads)
     found, nodes, pairs = build_graph(ready, contigs, options)
-    calls = G.checkpointed(call_candidates(found, nodes, pairs, counts, options), "calls")
+    calls = G.checkpointed(call_candidates(found, nodes, pairs, counts, ready.where(~R.mapped_filtered()), options), "calls")
     exact = None
     if pieces is not None:
         event = F.concat_ws(":", "locus", "n1", "n2", "event")

@@ -1,7 +1,7 @@
 import pytest
 from oracle import assert_same
 
-from helixloom.plans import catalog
+from helixloom.plans import catalog, catalog_calls  # noqa: F401 (its queries join the catalogue)
 
 SF = "/root/testdata/sf0.001"
 

@@ -182,8 +182,8 @@ def test_graph_files_and_dump(spark, tmp_path):
 
 
 def test_clusters_and_types(spark):
-    base = {"locus": 1, "n1": 1, "n2": 2, "sample": 0, "read_no": 1, "ev_type": "PAIR", "bp1_state": 1, "bp1_tid": 0, "bp1_begin": 100, "bp1_end": 150, "bp2_state": 2, "bp2_tid": 0, "bp2_begin": 900, "bp2_end": 950, "w_local": 3, "w_remote": 3}
-    rows = [base | {"qname": f"q{i}", "bp1_begin": 100 + i, "bp1_end": 150 + i} for i in range(5)]
+    base = {"locus": 1, "n1": 1, "n2": 2, "sample": 0, "read_no": 1, "ev_type": "PAIR", "bp1_state": 1, "bp1_tid": 0, "bp1_begin": 100, "bp1_end": 150, "bp2_state": 2, "bp2_tid": 0, "bp2_begin": 900, "bp2_end": 950, "w_local": 3, "w_remote": 3, "r1_tid": 0, "r1_pos": 100, "r2_tid": 0, "r2_pos": 950}
+    rows = [base | {"qname": f"q{i}", "bp1_begin": 100 + i, "bp1_end": 150 + i, "r1_pos": 100 + i} for i in range(5)]
     rows.append(base | {"qname": "swap", "bp1_state": 2, "bp1_begin": 905, "bp1_end": 940, "bp2_state": 1, "bp2_begin": 110, "bp2_end": 140})
     rows.append(base | {"qname": "else", "bp2_begin": 3000, "bp2_end": 3100})
     found = candidates.clustered(spark.createDataFrame(rows)).orderBy("cand").collect()
@@ -192,13 +192,36 @@ def test_clusters_and_types(spark):
     assert (big.bp1_begin, big.bp1_end, big.bp2_begin, big.bp2_end) == (100, 154, 900, 950)
     df = spark.createDataFrame(found).withColumn("kind", candidates.sv_type())
     assert {r.kind for r in df.collect()} == {"INDEL"}
-    rates = spark.createDataFrame([(0.01, 0.01, 0.5)], "anomalous_rate double, assembly_rate double, depth double")
-    tested = candidates.filtered(candidates.with_significance(df, rates))
+    rates = spark.createDataFrame([(0, 0.01, 0.01), (1, 0.5, 0.5)], "sample int, anomalous_rate double, assembly_rate double")
+    background = spark.createDataFrame([(s, 0, p) for p in range(1000) for s in (0, 1)], "sample int, tid int, pos0 long")
+    tested = candidates.filtered(candidates.with_significance(df, rates, background))
     assert {r.n_fragments: r.mark for r in tested.collect()} == {6: None, 1: "SPANNING_LOW_SIGNAL"}
     events = candidates.event_filter(candidates.junction_pairs(tested))
     assert [r.n_fragments for r in events.collect()] == [6]
 
 
+def test_signal_counts_background_reads(spark):
+    """Five observations in a window of four intervals; the reads between them are the trials, per sample and breakend."""
+    rng = random.Random(6)
+    reads = [(s, t, rng.randrange(3_000_000)) for s in (0, 1) for t in (0, 1) for _ in range(400)]
+    places = [(c, s, bp, rng.randrange(2), rng.randrange(3_000_000)) for c in range(8) for s in (0, 1) for bp in (1, 2) for _ in range(rng.randrange(9))]
+    rows = [(1, 1, 2, c, 3 if c % 2 else 1, [(s, bp, t, p) for d, s, bp, t, p in places if d == c]) for c in range(8)]
+    df = spark.createDataFrame(rows, "locus long, n1 long, n2 long, cand int, bp1_state int, evidence array<struct<sample:int,bp:int,tid:int,pos:long>>")
+    rates = {0: (0.3, 0.1), 1: (0.2, 0.4)}
+    got = {r.cand: r.p_signal for r in candidates.with_significance(df, spark.createDataFrame([(s, *r) for s, r in rates.items()], "sample int, anomalous_rate double, assembly_rate double"), spark.createDataFrame(reads, "sample int, tid int, pos0 long")).collect()}
+    for c in range(8):
+        best = 1.0
+        for s in (0, 1):
+            for bp in (1,) if c % 2 else (1, 2):
+                at = sorted(sum(x[0] == s and x[1:] <= (t, p) for x in reads) for d, s2, b, t, p in places if (d, s2, b) == (c, s, bp))
+                w = min(4, len(at) - 1)
+                if w > 0:
+                    trials = min(y - x for x, y in zip(at, at[w:]))
+                    hits = min(w, trials)
+                    best = min(best, prob._tail(hits, trials, rates[s][c % 2]) if hits else 1.0)
+        assert got[c] == pytest.approx(best), c
+
+
 def test_probabilities(spark):
     df = spark.createDataFrame([(3, 10, 0.1), (0, 5, 0.5), (5, 5, 0.5)], "k int, n int, p double")
     got = [r[0] for r in df.select(prob.binomial_tail("k", "n", "p")).collect()]
