@@ -39,6 +39,40 @@ def test_many_signs_stay_linear():
     pii.find("@" * 200_000 + "a" * 200_000 + "+1" * 50_000 + "1." * 50_000)
 
 
+def plain_all(text):
+    """All spans by plain loops: each proposal against each base span."""
+    out = plain(text)
+    taken = [x for k in pii.BASE for x in out[k]]
+    out |= {k: [] for k in pii.ADDED}
+    for kind, a, b, sure in pii._proposals(text):
+        if not any(x < b and a < y for x, y in taken) and pii.score(text, kind, a, b, sure) >= pii.THRESHOLD - 1e-9:
+            out[kind].append((a, b))
+    return out
+
+
+def test_query_equals_plain_spans(spark):
+    import hashlib
+
+    rng = random.Random(13)
+    pieces = ["call 555-123-4567", "ssn 123-45-6789", "card 3782 822463 10005", "bank GB82 WEST 1234 5698 7654 32", "a@b.cd", "1.2.3.4", "+1 988 555 2485", "4041894974608795", " and ", "order ", "x" * 50, "é", ". ", "555-123-4567"]
+    rows = [(i, " ".join(rng.choices(pieces, k=rng.randrange(0, 12)))) for i in range(300)]
+    got = {r.doc_id: r for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        found = plain_all(t)
+        assert got[i].spans == pii.written(found, pii.BASE + pii.ADDED), t
+        assert got[i].base_sha256 == hashlib.sha256(pii.written(found, pii.BASE).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [len(found[k]) for k in pii.BASE]
+
+
+def test_long_texts_take_their_length():
+    import time
+
+    for t in ("1" * 1_000_000 + ".", "a@b.cd 555-123-4567 " * 20_000, "1." * 300_000, "+1 (98) " * 100_000):
+        at = time.process_time()
+        pii.find(t)
+        assert time.process_time() - at < 5
+
+
 def test_query_shape(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "", 2), (3, "é a@b.cd 1.2.3.4", None)], "doc_id long, text string, n_email int")
     got = sorted((r.doc_id, r.n_email, r.n_ip, r.spans) for r in pii.spans(docs).collect())
