@@ -168,10 +168,10 @@ def junction_filters(junctions: DataFrame, keys=("event",), pair_filter: bool =
     return counted.select(*keys, F.array_compact(F.array(*[F.when(F.col(label), F.lit(label)) for label in tests])).alias("labels"))
 
 
-def diploid_filters(called: DataFrame, junctions: DataFrame, keys=("event",)) -> DataFrame:
-    """qual and filters (sorted labels) of each event."""
+def diploid_filters(called: DataFrame, junctions: DataFrame, keys=("event",), max_pair_size: Column | None = None) -> DataFrame:
+    """qual and filters (sorted labels) of each event. max_pair_size: the size from which an event should have pairs."""
     samples = sample_filters(called).groupBy(*keys).agg(F.bool_and(F.size("ft") > 0).alias("_all"))
-    out = diploid_quality(called, keys).join(samples, list(keys)).join(junction_filters(junctions, keys, pair_filter=True), list(keys), "left")
+    out = diploid_quality(called, keys).join(samples, list(keys)).join(junction_filters(junctions, keys, True, max_pair_size), list(keys), "left")
     labels = F.concat(F.array_compact(F.array(F.when(F.col("qual") < MIN_QUAL, F.lit("MinQUAL")), F.when(F.col("_all"), F.lit("SampleFT")))), F.coalesce("labels", F.array().cast("array<string>")))
     return out.select(*keys, "qual", F.array_sort(F.array_distinct(labels)).alias("filters"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import align, cigar
-from . import intervals, stats
+from . import intervals, scoring, stats
 from . import reads as R
 
 #: Bases that a pair must have on both sides of a breakend, and the least fragment probability that supports an allele.
@@ -93,7 +93,10 @@ def evidence(calls: DataFrame, ready: DataFrame, histogram: DataFrame, options:
     for k in (1, 2):
         flags |= {f"r{k}_scanned": F.lit(True), f"r{k}_anchored": F.col(f"mapq{k}") >= options.min_mapq, f"r{k}_anchored2": F.col(f"mapq{k}") >= options.min_tier2_mapq, f"r{k}_split": F.lit(False), f"r{k}_split2": F.lit(False), f"r{k}_ref_lnl": F.lit(0.0), f"r{k}_alt_lnl": F.lit(0.0)}
     counted = found.groupBy("event").agg(F.count("*").cast("int").alias("junctions"))
-    return one.withColumns(flags).join(found.select(*KEYS, "size", "same_contig"), KEYS).join(counted, "event").withColumns({"pair_weight": F.lit(1.0), "imprecise": F.lit(True)})
+    # an imprecise event has no known insertion, so an innie pair of breakends is a deletion; small ones are not told by pairs
+    kind = F.when(F.col("kind") == "INDEL", "DELETE").otherwise(F.col("kind"))
+    weight = scoring.pair_weight(F.col("size"), kind).cast("double").alias("pair_weight")
+    return one.withColumns(flags).join(found.select(*KEYS, "size", "same_contig", weight), KEYS).join(counted, "event").withColumn("imprecise", F.lit(True))
 
 
 def split_reads(found: DataFrame, reads: DataFrame, alleles: DataFrame, reach: int = 200, edge: int = 100) -> DataFrame:

@@ -11,9 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cigar
 from ..operators import candidates as C
 from ..operators import graph as G
-from ..operators import intervals, observations, refinement, scoring, stats, support, vcf
+from ..operators import intervals, observations, partitioning, refinement, scoring, stats, support, vcf
 from ..operators import reads as R
 
 
@@ -117,26 +118,70 @@ def records(calls: DataFrame, contigs: DataFrame, filters: DataFrame | None = No
     return vcf.deduplicated(out, contigs)
 
 
+#: Depth, as a multiple of the contig's, above which reads are no evidence, and above which a breakend earns MaxDepth.
+EVIDENCE_DEPTH, BREAKEND_DEPTH = 12.0, 3.0
+#: Share of fragments beyond which a size is extreme: above the size there, a deletion should have pairs.
+EXTREME_TRIM = 0.05
+KEYS = ["locus", "n1", "n2", "cand"]
+
+
+def in_shallow_places(ready: DataFrame, depths: DataFrame) -> DataFrame:
+    """Reads that do not start where the depth is far above their contig's."""
+    use = ready.where(~R.mapped_filtered())
+    windows = intervals.coverage(use.select("tid", F.col("pos0").cast("long").alias("begin"), (F.col("pos0") + F.length("seq")).cast("long").alias("end")))
+    return R.depth_filtered(ready, windows, depths, EVIDENCE_DEPTH).where("NOT is_deep").drop("is_deep")
+
+
 def run(reads: DataFrame, contigs: DataFrame, options: Options = Options(), pieces: DataFrame | None = None) -> DataFrame:
-    """Variant records of alignments. pieces: the reference (sources.text.chunked, with a margin of 20 kb), for exact breakends."""
-    histogram = G.checkpointed(fragment_statistics(R.with_flags(reads)), "fragments")
-    ready = prepared(reads, histogram, options)
+    """Variant records of alignments, scored by the model that the options name.
+
+    Samples are numbered, normal ones first. pieces: the reference (sources.text.chunked, with a margin of 20 kb), for
+    exact breakends.
+    """
+    flagged = R.with_flags(in_regions(reads, contigs, options))
+    histogram = G.checkpointed(fragment_statistics(flagged), "fragments")
+    ready = prepared(flagged, histogram, options)
+    depths = G.checkpointed(contig_depths(flagged), "depths") if options.depth_filter else None
+    shallow = ready if depths is None else G.checkpointed(in_shallow_places(ready, depths), "shallow")
     counts = R.sample_counts(R.evidence(ready.where(~R.mapped_filtered()), options.reads), options.reads)
-    found, nodes, pairs = build_graph(ready, contigs, options)
+    found, nodes, pairs = build_graph(shallow, contigs, options)
     calls = G.checkpointed(call_candidates(found, nodes, pairs, counts, ready.where(~R.mapped_filtered()), options), "calls")
     exact = None
     if pieces is not None:
         event = F.concat_ws(":", "locus", "n1", "n2", "event")
         named = calls.select("locus", "n1", "n2", "cand", event.alias("event"), F.col("cand").alias("junction"))
         exact = G.checkpointed(refinement.refined(calls, ready, pieces).join(named, ["locus", "n1", "n2", "cand"]), "refined")
-    if options.model != "diploid":
-        return records(calls, contigs, exact=exact)
-    return genotyped(calls, ready, histogram, contigs, options, exact)
-
-
-def genotyped(calls: DataFrame, ready: DataFrame, histogram: DataFrame, contigs: DataFrame, options: Options = Options(), exact: DataFrame | None = None) -> DataFrame:
-    """Records of candidates with quality, filters and the samples' genotypes by the diploid model."""
-    keys = ["locus", "n1", "n2", "cand"]
+    return scored(calls, ready, histogram, contigs, options, exact, depths)
+
+
+def in_regions(reads: DataFrame, contigs: DataFrame, options: Options) -> DataFrame:
+    """The reads that start in one of the options' regions; all of them if there are none."""
+    if not options.regions:
+        return reads
+    spark = reads.sparkSession
+    named = partitioning.regions(spark.createDataFrame([(r,) for r in options.regions], "region string"), contigs)
+    ranges = named.join(contigs.select("label", F.col("tid").alias("r_tid")), "label").select("r_tid", F.col("begin").alias("r_begin"), F.col("end").alias("r_end"))
+    placed = reads.withColumn("_stop", F.col("pos0") + 1)
+    inside = placed.join(F.broadcast(ranges), (F.col("tid") == F.col("r_tid")) & (F.col("pos0") < F.col("r_end")) & (F.col("pos0") >= F.col("r_begin")), "left_semi")  # a few named regions
+    return inside.drop("_stop")
+
+
+def breakend_limits(found: DataFrame, ready: DataFrame, depths: DataFrame | None) -> DataFrame:
+    """event, junction, and depth, limit and mq0 of both breakends; without depths there are no limits."""
+    ends = []
+    for k in (1, 2):
+        ends.append(found.select("event", "junction", F.lit(k).alias("k"), F.concat_ws("/", "event", "junction", F.lit(k)).alias("id"), F.col(f"b_tid{k}").alias("tid"), F.col(f"c{k}").alias("center")))
+    points = ends[0].unionByName(ends[1])
+    use = ready.where(~R.mapped_filtered()).select("tid", F.col("pos0").cast("long").alias("begin"), (F.col("pos0") + cigar.ref_length(F.col("path"))).cast("long").alias("end"), "mapq")
+    seen = points.join(scoring.breakend_depth(use, points), "id")
+    limit = F.lit(None).cast("double").alias("limit")
+    seen = seen.withColumn("limit", limit) if depths is None else seen.join(F.broadcast(depths.select("tid", (F.col("depth") * BREAKEND_DEPTH).alias("limit"))), "tid", "left")
+    own = lambda k, c, name: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"bp{k}_{name}")
+    return seen.groupBy("event", "junction").agg(*[own(k, c, n) for k in (1, 2) for c, n in (("max_depth", "depth"), ("limit", "limit"), ("mq0", "mq0"))])
+
+
+def scored(calls: DataFrame, ready: DataFrame, histogram: DataFrame, contigs: DataFrame, options: Options = Options(), exact: DataFrame | None = None, depths: DataFrame | None = None) -> DataFrame:
+    """Records of candidates with the filters, scores and samples of the options' model."""
     found = support.junctions(calls)
     evidence = support.evidence(calls, ready, histogram, options.reads)
     if exact is not None:
@@ -146,18 +191,36 @@ def genotyped(calls: DataFrame, ready: DataFrame, histogram: DataFrame, contigs:
         evidence = evidence.join(precise, ["event", "junction"], "left").withColumn("imprecise", F.coalesce("_exact", "imprecise")).drop("_exact")
         evidence = scoring.resolved_conflicts(evidence)
     evidence = G.checkpointed(evidence, "evidence")
-    called = scoring.diploid(evidence)
-    counts = scoring.support_counts(evidence)
-    spanning = counts.groupBy("event", "junction").agg(F.sum("alt_confident_spanning").alias("spanning"))
-    none = F.lit(None).cast("double")
-    judged = found.join(spanning, ["event", "junction"], "left").fillna(0, ["spanning"])
-    judged = judged.select("event", "size", "kind", "spanning", *[none.alias(f"bp{k}_{x}") for k in (1, 2) for x in ("depth", "limit", "mq0")])
-    filters = scoring.diploid_filters(called, judged).select("event", F.col("qual").cast("double").alias("qual"), F.col("filters").alias("filter"))
-    out = records(calls, contigs, found.join(filters, "event").select(*keys, "qual", "filter"), exact)
-    ident = found.select("event", "junction", F.concat_ws(":", F.lit("SV"), "kind", *keys, F.lit(0), F.lit(0)).alias("id"))
-    samples = ident.join(scoring.sample_filters(called), "event").join(counts, ["event", "junction", "sample"])
-    both = samples.select(F.explode(F.array("id", F.concat("id", F.lit(":0")), F.concat("id", F.lit(":1")))).alias("id"), *[c for c in samples.columns if c != "id"])
-    return vcf.ordered(vcf.with_samples(out, both, "diploid"), contigs)
-
-
-SCORES = {"diploid": scoring.diploid, "somatic": scoring.somatic, "tumor": scoring.tumour_filters, "rna": scoring.rna_filters}
+    counts = G.checkpointed(scoring.support_counts(evidence), "counts")
+    of_junction = counts.groupBy("event", "junction").agg(F.sum("alt_confident_spanning").alias("spanning"), F.sum("alt_split").alias("split"))
+    judged = found.join(of_junction, ["event", "junction"], "left").fillna(0, ["spanning", "split"]).join(breakend_limits(found, ready, depths), ["event", "junction"], "left")
+    if exact is not None:
+        judged = judged.join(exact.select("event", "junction", F.lit(False).alias("_exact")), ["event", "junction"], "left").withColumn("imprecise", F.coalesce("_exact", F.lit(True)))
+    else:
+        judged = judged.withColumn("imprecise", F.lit(True))
+    judged = G.checkpointed(judged, "judged")
+    per_sample, tags = counts, None
+    if options.model == "diploid":
+        called = scoring.diploid(evidence)
+        extreme = stats.quantile(stats.size_cdf(histogram, ["sample"]), ["sample"], 1 - EXTREME_TRIM).agg(F.max("size")).first()[0] or 0  # one number
+        filters = scoring.diploid_filters(called, judged, max_pair_size=F.lit(extreme)).select("event", F.col("qual").cast("double").alias("qual"), F.col("filters").alias("filter"))
+        per_sample = scoring.sample_filters(called).join(counts, ["event", "sample"])
+    elif options.model == "somatic":
+        weighted = counts.join(evidence.groupBy("event", "junction").agg(F.max("pair_weight").alias("pair_weight")), ["event", "junction"])
+        result = scoring.somatic_filters(scoring.somatic(evidence, weighted, 0, 1), judged)
+        filters = result.select("event", F.lit(None).cast("double").alias("qual"), F.col("filters").alias("filter"))
+        tags = result.select("event", F.concat(F.lit("SOMATIC;SOMATICSCORE="), F.col("score").cast("string")).alias("tags"))
+    elif options.model == "tumor":
+        filters = scoring.tumour_filters(judged).select("event", F.lit(None).cast("double").alias("qual"), F.col("filters").alias("filter"))
+    else:
+        worst = scoring.rna_filters(judged).groupBy("event").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("filters")))).alias("filter"))
+        filters = worst.select("event", F.col("score").cast("double").alias("qual"), "filter")
+    out = records(calls, contigs, found.join(filters, "event").select(*KEYS, "qual", "filter"), exact)
+    ident = found.select("event", "junction", F.concat_ws(":", F.lit("SV"), "kind", *KEYS, F.lit(0), F.lit(0)).alias("id"))
+    ids = F.explode(F.array("id", F.concat("id", F.lit(":0")), F.concat("id", F.lit(":1")))).alias("id")
+    if tags is not None:
+        named = ident.join(tags, "event").select(ids, "tags")
+        out = out.join(named, "id", "left").withColumn("info", F.concat_ws(";", "info", "tags")).select(*out.columns)
+    samples = ident.join(per_sample, ["event", "junction"])
+    both = samples.select(ids, *[c for c in samples.columns if c != "id"])
+    return vcf.ordered(vcf.with_samples(out, both, options.model), contigs)
