@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from . import common
@@ -34,7 +35,6 @@ MAP_BITS = 1 << 24
 
 #: Lower-cases A-Z; ASCII characters other than letters and digits separate words.
 _TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -122,8 +122,7 @@ def _counted(texts: DataFrame, sizes: list[int], shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            own = [words_of(t) for t in batch.column(0).to_pylist()]
-            parts = [c[_known(c, bits)] for words in own for size in sizes for c in (codes(words, size),)]
+            parts = [c[_known(c, bits)] for t in batch.column(0).to_pylist() if (words := words_of(t)) for size in sizes for c in (codes(words, size),)]
             found, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
@@ -201,19 +200,30 @@ def found_in(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
     return out
 
 
-def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """row (a struct of the columns of docs), n_words, hit_words and hit_items (null without a hit)."""
+def _joined(docs: DataFrame, items: DataFrame, window: int, *more: Column) -> DataFrame:
+    """row (a struct of the columns of docs), more, hit_words and hit_items (null without a hit)."""
     found = found_in(docs, items, window).withColumnsRenamed({"k1": "f1", "k2": "f2"})
-    rows = common.boxed(docs, *_keys(F.col("text")), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = common.boxed(docs, *_keys(F.col("text")), *more)
     # texts are not shuffled if those with hits are counted few
-    return rows.join(common.few(found, places=True), (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left").select("row", "n_words", "hit_words", "hit_items")
+    return rows.join(common.few(found, places=True), (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left").drop("k1", "k2", "f1", "f2")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, hit_words (places of hit words, rising) and hit_items (sorted ids); such names are replaced."""
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "hit_words", "hit_items")]
-    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
-    return common.unboxed(_joined(docs, items, window), kept, F.col("n_words"), none("hit_words", "int"), none("hit_items", "string"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "hit_words", "hit_items")])
+    joined = _joined(docs, items, window, F.encode("text", "UTF-8").alias("bytes"))
+    own = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("hit_items", T.ArrayType(T.StringType()))]
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch.columns)
+            places, ids = (pa.array([x or [] for x in batch.column(n - k).to_pylist()], kind) for k, kind in ((2, pa.list_(pa.int32())), (1, pa.list_(pa.string()))))
+            counts = pa.array([len(words_of(t)) for t in batch.column(n - 3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], counts, places, ids], names=[*batch.schema.names[: n - 3], *(f.name for f in own)])
+
+    flat = joined.select(*columns, F.col("bytes").alias("n_words"), "hit_words", "hit_items")
+    return flat.mapInArrow(run, T.StructType([*docs.schema.fields, *own]))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

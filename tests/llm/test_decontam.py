@@ -53,3 +53,14 @@ def test_empty_tables(spark):
     assert decontam.hits(d.limit(0), b).count() == 0
     assert decontam.hits(d, b.limit(0)).first().hit_words == []
     assert decontam.hits(d, b).first().hit_items == ["1"]
+
+
+def test_long_texts(spark):
+    """A text of a megabyte with a benchmark window at its end, and an item of as many words."""
+    item = " ".join(f"item{i}" for i in range(40))
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    d = spark.createDataFrame([(1, long + " " + item), (2, long), (3, "w1 w2")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, long[:300_000])], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.hits(d, b).collect()}
+    assert got[1].hit_items == ["1", "2"] and got[2].hit_items == ["2"] and got[3].hit_items == []
+    assert len(got[1].hit_words) - len(got[2].hit_words) >= 40 and len(got[2].hit_words) > 190_000
