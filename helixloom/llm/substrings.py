@@ -197,8 +197,9 @@ def _long_prefixes(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), types)], names=["prefix", "suffix", "doc", "start", "o", "words"])
 
     rows = suffixes.select("prefix", "suffix", "right_words", "left_words", "doc", "at").mapInArrow(run, "prefix long, suffix long, doc long, start int, o int, words binary")
-    rows = rows.select("prefix", "suffix", "doc", "start", "o", F.sha2("words", 256).alias("words"))
-    first = rows.groupBy("words").agg(F.min(_place("doc", "start")).alias("first"))
+    # both stored, so that the join of a hot window can be split
+    rows = common.stored(rows.select("prefix", "suffix", "doc", "start", "o", F.sha2("words", 256).alias("words")), "long-rows")
+    first = common.stored(rows.groupBy("words").agg(F.min(_place("doc", "start")).alias("first")), "long-firsts")
     later = rows.join(first, "words").where(_place("doc", "start") > F.col("first"))
     return later.groupBy("prefix", "suffix").agg(F.expr("bit_or(shiftleft(CAST(1 AS BIGINT), o))").alias("gone"))
 
@@ -234,11 +235,13 @@ def removed(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group:
     gone = _subtrees(sized.where(F.col("n") <= group), window, prefix).unionByName(_long_prefixes(sized.where(F.col("n") > group), window, prefix))
     gone = common.stored(gone, "gone")
     firsts = distinct.select("prefix", "suffix", F.col("doc").alias("first_doc"), F.col("at").alias("first_at")).join(gone, ["prefix", "suffix"], "left")
+    # stored, so that a hot suffix's join can be split
+    firsts = common.stored(firsts, "firsts")
     here = (F.col("doc") == F.col("first_doc")) & (F.col("at") == F.col("first_at"))
     cut = F.when(here, F.coalesce("gone", F.lit(0).cast("long"))).otherwise(_valid(F.col("n_right"), F.col("n_left"), window, prefix))
     cuts = suffixes.select("prefix", "suffix", "doc", "version", "at", "n_right", "n_left").join(firsts, ["prefix", "suffix"]).select("doc", "version", "at", cut.alias("gone")).where("gone <> 0")
     cuts = common.stored(cuts.groupBy("doc", "version").agg(F.collect_set(F.struct("at", "gone")).alias("cuts")), "cuts")
-    for df in (suffixes, distinct, gone):
+    for df in (suffixes, distinct, gone, firsts):
         common.forget(df)
     return cuts
 
