@@ -21,21 +21,35 @@ THRESHOLD = 9
 MAX_HUB_DEGREE = 10
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where Spark runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='helixloom-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def checkpointed(df: DataFrame, name: str = "graph") -> DataFrame:
     """df written to the shared folder of the session and read back, which cuts its lineage."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.getCheckpointDir():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='helixloom-')}")
-        where = spark.sparkContext.getCheckpointDir()
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table made by checkpointed(), once nothing lazy refers to it any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """node and component (the least node it is connected to), by alternating stars; self edges name lone nodes."""
     lone = edges.select(F.col(a).alias("node")).unionAll(edges.select(F.col(b).alias("node"))).distinct()
@@ -50,7 +64,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionAll(low.select(F.col("m").alias("a"), "b")).distinct()
-        links = checkpointed(small)
+        after = checkpointed(small)
+        forget(links)
+        links = after
         now = mark(links)
         if now == seen:
             break
@@ -70,12 +86,12 @@ def merge(protos: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     """
     ends = protos.select(F.col("a.tid").alias("tid"), F.col("a.begin").alias("begin"), F.col("a.end").alias("end"), "w").unionAll(protos.select(F.col("b.tid").alias("tid"), F.col("b.begin").alias("begin"), F.col("b.end").alias("end"), F.lit(0).cast("long").alias("w")))
     spans = ends.groupBy("tid", "begin", "end").agg(F.sum("w").alias("w"))
-    numbered = intervals.islands(spans)
+    # islands by blocks of places; each interval lies in just one island's hull
+    hulls = intervals.merged(spans).select(F.col("tid").alias("h_tid"), "island", F.col("begin").alias("h_begin"), F.col("end").alias("h_end"))
+    numbered = intervals.overlap_join(spans, hulls, right_cols=("h_tid", "h_begin", "h_end")).drop("h_tid")
     peaks = intervals.region_peak(numbered.where("w > 0"), ("tid", "island"), weight=F.col("w"))
-    hulls = numbered.groupBy("tid", "island").agg(F.min("begin").alias("h_begin"), F.max("end").alias("h_end"))
     named = (
         numbered.join(peaks, ["tid", "island"], "left")
-        .join(hulls, ["tid", "island"])
         .withColumn("signal", F.coalesce(F.col("peak") >= threshold, F.lit(False)))
         .select(
             "tid", "begin", "end",

@@ -36,6 +36,15 @@ def quantile(cdf: DataFrame, keys, p: float) -> DataFrame:
     return cdf.where(reached).groupBy(*keys).agg(F.min("size").alias("size")).withColumn("p", F.lit(p))
 
 
+def quantiles(cdf: DataFrame, keys, ps) -> DataFrame:
+    """quantile() of several p, as rows, in one pass over the table."""
+    import math
+
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(max(math.ceil(p * QUANTILE_BINS - 1e-9), 1)).alias("bin")) for p in ps])
+    each = cdf.select(*keys, "size", F.rint(F.col("below") * QUANTILE_BINS / F.col("total")).alias("_at"), F.explode(wanted).alias("_w"))
+    return each.where("_at >= _w.bin").groupBy(*keys, F.col("_w.p").alias("p")).agg(F.min("size").alias("size")).select(*keys, "size", "p")
+
+
 def trimmed(histogram: DataFrame, keys, p: float = UPPER_TRIM) -> DataFrame:
     """The histogram without the sizes above quantile p."""
     at = quantile(size_cdf(histogram, keys), keys, p).select(*keys, F.col("size").alias("_at"))

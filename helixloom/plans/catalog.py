@@ -153,12 +153,7 @@ _PS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 @query(f"WITH {HIST} SELECT sample, min(size) AS size, p::DOUBLE AS p FROM c, (SELECT unnest([{', '.join(map(str, _PS))}]) AS p) WHERE round_even(below * 1000 / total, 0) >= ceil(p * 1000 - 1e-9) GROUP BY sample, p")
 def size_quantiles(spark, sf_dir):
-    cdf = size_cdf(spark, sf_dir)
-    out = None
-    for p in _PS:
-        q = stats.quantile(cdf, ["sample"], p)
-        out = q if out is None else out.unionByName(q)
-    return out
+    return stats.quantiles(size_cdf(spark, sf_dir), ["sample"], _PS)
 
 
 @query(f"WITH {HIST}, q AS (SELECT sample, min(size) AS lim FROM c WHERE round_even(below * 1000 / total, 0) >= 900 GROUP BY sample) SELECT h.sample, size, n FROM h JOIN q ON h.sample = q.sample WHERE size <= lim")

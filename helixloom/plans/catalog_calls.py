@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cigar, prob, seq
-from ..operators import candidates, graph, intervals, observations, partitioning, reads, scoring, support, vcf
+from ..operators import candidates, graph, intervals, observations, partitioning, reads, scoring, stats, support, vcf
 from .catalog import ALIGNMENTS, CLEAN, ENDS, LINKS, RECORDS, SPANS, _NODES, _nodes, alignments, edge_counts, links, query, records, spans, table
 
 
@@ -599,3 +599,72 @@ def evidence_reads(spark, sf_dir):
     s = r.withColumn("kind", F.when(F.col("p") % 2 == 0, "PR").otherwise("SR")).unionByName(r.where("read_no = 1").withColumns({"sv": F.lit("V3"), "kind": F.lit("PR")}))
     tagged = vcf.supporting_reads(r.drop("p", "sv").distinct(), s)
     return vcf.reads_of(tagged, spark.createDataFrame([("V3",), ("V7",)], "id string")).select("qname", "read_no", "zm")
+
+
+# sampling and pair support
+
+
+_Q = "SELECT sample, p, min(size) AS size FROM (SELECT sample, size, round_even(sum(n) OVER (PARTITION BY sample ORDER BY size) * 1000 / sum(n) OVER (PARTITION BY sample), 0) AS reached FROM {t}) JOIN (SELECT unnest([0.1, 0.5, 0.9]) AS p) ON reached >= ceil(p * 1000 - 1e-9) GROUP BY 1, 2"
+
+
+@query(f"""WITH h AS (SELECT l_suppkey % 20 AS sample, l_quantity::BIGINT AS size, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT l_suppkey % 20 AS sample, l_quantity::BIGINT AS size, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+  a AS ({_Q.format(t="h")}), b AS ({_Q.format(t="g")}) SELECT a.sample, bool_and(abs(a.size - b.size) <= 2) AS converged FROM a JOIN b ON a.sample = b.sample AND a.p = b.p GROUP BY 1""")
+def quantile_convergence(spark, sf_dir):
+    """Whether a part of the fragments tells the same quantiles as all do."""
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("sample"), F.col("l_quantity").cast("long").alias("size"), "l_linenumber")
+    of = lambda df: stats.quantiles(stats.size_cdf(df.groupBy("sample", "size").agg(F.count("*").alias("n")), ["sample"]), ["sample"], (0.1, 0.5, 0.9))
+    return stats.converged(of(l), of(l.where("l_linenumber <= 3")), ["sample"], 2)
+
+
+@query("""WITH h AS (SELECT (l_linenumber * 50 + 60)::BIGINT AS size, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT size, sum(n) OVER (ORDER BY size) / sum(n) OVER () AS share, lead(size) OVER (ORDER BY size) AS ahead FROM h),
+  f AS (SELECT l_orderkey || '/' || l_linenumber AS qname, l_suppkey % 3 AS tid, l_partkey AS pos, (100 + l_suppkey % 300)::BIGINT AS size FROM lineitem), j AS (SELECT s_suppkey AS junction, s_suppkey % 3 AS tid, s_suppkey * 37 % 2000 AS c1, s_suppkey * 37 % 2000 + s_suppkey % 900 AS c2 FROM supplier),
+  u AS (SELECT junction, tid, c1 AS c FROM j UNION ALL SELECT junction, (tid + junction % 2) % 3, c2 FROM j),
+  m AS (SELECT DISTINCT junction, qname, size FROM f JOIN u ON f.tid = u.tid AND pos + 50 <= c AND c < pos + size - 50 WHERE size BETWEEN 120 AND 350)
+  SELECT junction, qname, round(coalesce((SELECT least(share, 1 - share) FROM c WHERE c.size <= m.size AND m.size < coalesce(ahead, c.size + 1)), 0)::DOUBLE, 9) AS ref_pair FROM m""")
+def reference_pairs(spark, sf_dir):
+    """Proper pairs that hold a breakend with enough bases on both sides."""
+    l, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    shares = support.size_shares(l.groupBy(F.lit(0).alias("sample"), (F.col("l_linenumber") * 50 + 60).cast("long").alias("size")).agg(F.count("*").alias("n")))
+    size = (100 + F.col("l_suppkey") % 300).cast("long")
+    pairs = l.select(
+        F.lit(0).alias("sample"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("qname"), F.lit(120).alias("pp_min"), F.lit(350).alias("pp_max"), *[(F.col("l_suppkey") % 3).alias(f"tid{k}") for k in (1, 2)], F.col("l_partkey").alias("pos1"), (F.col("l_partkey") + 50).alias("end1"), (F.col("l_partkey") + size - 50).alias("pos2"), (F.col("l_partkey") + size).alias("end2"),
+        F.lit(True).alias("fwd1"), F.lit(False).alias("fwd2"), F.lit(60).alias("mapq1"), F.lit(60).alias("mapq2"),
+    )
+    k = F.col("s_suppkey")
+    found = s.select(F.lit("e").alias("event"), k.alias("junction"), (k % 3).alias("b_tid1"), ((k % 3 + k % 2) % 3).alias("b_tid2"), (k * 37 % 2000).alias("c1"), (k * 37 % 2000 + k % 900).alias("c2"))
+    return support.ref_pairs(found, pairs, shares).select("junction", "qname", F.round("ref_pair", 9).alias("ref_pair"))
+
+
+@query("""WITH f AS (SELECT l_orderkey || '/' || l_linenumber AS qname, l_suppkey % 3 AS tid, l_partkey AS pos, l_partkey + 300 + l_suppkey % 700 AS pos2 FROM lineitem), j AS (SELECT s_suppkey AS junction, s_suppkey % 3 AS tid, s_suppkey * 37 % 2000 AS b1, s_suppkey * 37 % 2000 + 400 AS b2 FROM supplier),
+  m AS (SELECT junction, qname, (b1 + 19 - pos) + (pos2 + 50 - (b2 + 19)) AS size FROM f JOIN j ON f.tid = j.tid AND pos + 50 < b1 + 40 AND b1 < pos + 50 + 300 + 1 AND pos2 > b2 AND pos2 - 300 <= b2 + 40)
+  SELECT junction, qname, size::BIGINT AS alt_size FROM m""")
+def alternative_pairs(spark, sf_dir):
+    """Pairs whose reads point at both breakends, and the size that the junction gives them."""
+    l, s, k = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    shares = support.size_shares(l.groupBy(F.lit(0).alias("sample"), (F.col("l_linenumber") * 50).cast("long").alias("size")).agg(F.count("*").alias("n")))
+    pos2 = F.col("l_partkey") + 300 + F.col("l_suppkey") % 700
+    pairs = l.select(
+        F.lit(0).alias("sample"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("qname"), F.lit(300).alias("pp_max"), *[(F.col("l_suppkey") % 3).alias(f"tid{i}") for i in (1, 2)], F.col("l_partkey").alias("pos1"), (F.col("l_partkey") + 50).alias("end1"), pos2.alias("pos2"), (pos2 + 50).alias("end2"),
+        F.lit(True).alias("fwd1"), F.lit(False).alias("fwd2"), F.lit(60).alias("mapq1"), F.lit(60).alias("mapq2"),
+    )
+    b1 = k * 37 % 2000
+    found = s.select(F.lit("e").alias("event"), k.alias("junction"), *[(k % 3).alias(f"b_tid{i}") for i in (1, 2)], b1.alias("b_begin1"), (b1 + 40).alias("b_end1"), (b1 + 400).alias("b_begin2"), (b1 + 440).alias("b_end2"), F.lit(1).alias("b_state1"), F.lit(2).alias("b_state2"), (b1 + 19).alias("c1"), (b1 + 419).alias("c2"))
+    return support.alt_pairs(found, pairs, shares).select("junction", "qname", "alt_size")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS qname, l_linenumber % 2 + 1 AS read_no, l_suppkey % 5 AS mate_tid, l_partkey AS mate_pos FROM lineitem WHERE l_linenumber = 1),
+  r AS (SELECT l_orderkey AS qname, l_linenumber AS read_no, l_suppkey % 5 AS tid, l_partkey AS pos, l_tax < 0.05 AS zero FROM lineitem WHERE l_linenumber <= 2)
+  SELECT DISTINCT r.qname, r.read_no, r.tid, r.pos AS pos0 FROM r JOIN a ON r.qname = a.qname AND r.read_no = 3 - a.read_no WHERE zero AND EXISTS (SELECT 1 FROM a x WHERE x.mate_tid = r.tid AND greatest(0, x.mate_pos - 5) <= r.pos AND r.pos < x.mate_pos + 5)""")
+def remote_mates(spark, sf_dir):
+    """Mates of anchors, fetched over their merged regions."""
+    l = table(spark, sf_dir, "lineitem")
+    a = l.where("l_linenumber = 1").select(F.lit(0).alias("sample"), F.col("l_orderkey").alias("qname"), (F.col("l_linenumber") % 2 + 1).alias("read_no"), (F.col("l_suppkey") % 5).alias("mate_tid"), F.col("l_partkey").alias("mate_pos0"))
+    r = l.where("l_linenumber <= 2").select(F.lit(0).alias("sample"), F.col("l_orderkey").alias("qname"), (F.col("l_linenumber") == 2).alias("is_second"), (F.col("l_suppkey") % 5).alias("tid"), F.col("l_partkey").alias("pos0"), F.when(F.col("l_tax") < 0.05, 0).otherwise(9).alias("mapq"))
+    return support.remote_reads(r, a, 5).select("qname", "read_no", "tid", "pos0").distinct()
+
+
+@query("""SELECT n_name AS label, (2000000 * pow(2, greatest(0, ceil(log2(greatest((n_nationkey * n_nationkey + 1) * 1000003, 1) / 40000000.0)))))::BIGINT AS size FROM nation""")
+def depth_sampling(spark, sf_dir):
+    """The size of the segments that a contig's depth is sampled by; one row for each contig."""
+    rows = table(spark, sf_dir, "nation").select("n_name", "n_nationkey").collect()  # the table of contigs is small
+    return spark.createDataFrame([(r.n_name, partitioning.depth_segments((r.n_nationkey**2 + 1) * 1_000_003)) for r in rows], "label string, size long")
