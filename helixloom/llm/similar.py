@@ -5,14 +5,14 @@ about 15 of 100 fingerprint bits, which is too many for 64 bits to tell, so the
 
 1. Embedding: its segments of two bits are mapped to their bit counts. 2. Grid: each of some tens of grids has a few of
 the segments as axes; documents meet where their counts on a grid's axes are equal. The number of axes follows the
-logarithm of the number of documents, and the number of grids follows the axes. 3. Pairs that meet are kept if the
-Manhattan distance of the counts of one word, a lower bound of its differing bits, then these bits, then those of the
-whole print are within bounds. 4. What is left is compared exactly, by the sets of both texts.
+logarithm of the number of documents, and the number of grids follows the axes. 3. Nodes that meet are tied if the
+Manhattan distance of the counts of LEAD words, a lower bound of their differing bits, and then these bits are within a
+bound; a cell yields a spanning forest of its ties, never all its pairs. Ties whose whole prints differ too much go, and
+what the others connect is a block. 4. Within a block, sets are compared exactly through an index of their elements, and
+again only a spanning forest of the links is kept.
 
-Equal sets are one node. Nodes are first compared with one other only, the least near one that they meet; what that
-links is one component, and only pairs of different components are compared after it. So a large group of copies costs
-about its size, and no pairs within a component are listed. Cells of more than CELL nodes are dealt out as pairs of
-blocks.
+Equal sets are one node, so copies cost nothing after the first step. Cells and blocks of more than CELL nodes (or
+BLOCK_BYTES of text) are dealt out as pairs of parts, so no task holds an unbounded one and no link is lost.
 
 What a fingerprint can miss: pairs at just 0.8 meet in at least one grid with a chance of about 1 - exp(-MEETINGS);
 those at 0.85 or more nearly always do. All else is exact.
@@ -40,16 +40,18 @@ from .simhash import embedded, manhattan
 SHINGLE, SEED = 5, 42
 #: Similarity, as a fraction.
 NUM, DEN = 4, 5
-#: Words of a fingerprint; most bits in which the first of them, and the whole, may differ.
-WORDS, FIRST, WHOLE = 16, 20, 200
+#: Words of a fingerprint, and those of them that enter the grids; most bits in which these, and the whole, may differ.
+WORDS, LEAD, FIRST, WHOLE = 16, 2, 35, 200
 #: Expected number of grids in which two sets of just the similarity meet.
 MEETINGS = 3.0
 #: Chance that a segment's counts are equal: of sets of just the similarity, and of unrelated ones (3/8).
 _NEAR, _FAR = 0.7315, 0.375
 #: About how many unrelated nodes may share a cell, and the fewest axes.
 STRANGERS, AXES = 128, 12
-#: Most nodes of a cell that are compared in one group.
-CELL = 2048
+#: Most nodes of a cell or block, and most bytes of a block's texts, that are compared in one group.
+CELL, BLOCK_BYTES = 2048, 16 << 20
+#: Groups up to this size are compared all at once, larger ones node by node.
+SMALL = 64
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -105,8 +107,25 @@ class Grid:
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether first words are near: by the lower bound, then by the bits."""
-    return (manhattan(embedded(a), embedded(b)) <= FIRST) & (np.bitwise_count(a ^ b) <= FIRST)
+    """Whether leading words (rows of a and b, or one of them) are near: by the lower bound, then by the bits."""
+    bound = manhattan(embedded(a), embedded(b)).sum(axis=-1)
+    return (bound <= FIRST) & (np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= FIRST)
+
+
+def grown(size: int, partners) -> list[tuple[int, int]]:
+    """A spanning forest of links among 0 to size - 1; partners(i, left) gives those of left that i is linked to."""
+    left, out = np.arange(size), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = partners(i, left)
+            if hit.any():
+                near = left[hit].tolist()
+                out += [(i, j) for j in near]
+                queue += near
+                left = left[~hit]
+    return out
 
 
 def prints(docs: DataFrame) -> DataFrame:
@@ -146,95 +165,70 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield held
 
 
-def _stars(nodes: DataFrame, grid: Grid) -> DataFrame:
-    """a < b: nodes near the least node of a cell that they share, first within a batch, then over all.
-
-    A batch's cells send only their least node on (and those not near it), so a crowded cell is not one task's.
-    """
-
-    def starred(cell: np.ndarray, node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted rows: each row's place of its cell's first row, and whether it is another node near that one."""
-        first = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)) if len(cell) else np.zeros(0, np.int64)
-        hub = np.repeat(first, np.diff(np.append(first, len(cell))))
-        return hub, (node != node[hub]) & _near(word, word[hub])
+def _ties(groups: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ties (by place) of sorted rows: in each group a spanning forest of the near ones."""
+    edge = np.append(np.flatnonzero(np.diff(groups, prepend=groups[0] - 1)), len(groups))
+    size = np.diff(edge)
+    behind = np.repeat(edge[1:], size) - np.arange(len(groups)) - 1
+    behind[np.repeat(size > SMALL, size)] = 0
+    a, b = [], []
+    for step in range(1, int(behind.max()) + 1):
+        at = np.flatnonzero(behind >= step)
+        at = at[_near(words[at], words[at + step])]
+        a += at.tolist()
+        b += (at + step).tolist()
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = i = root.get(up, up)
+        return i
+
+    kept = []
+    for i, j in sorted(zip(a, b)):  # the first row takes all that it can, so that cells with the same rows have the same ties
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((i, j))
+    for start, n in zip(edge[:-1][size > SMALL].tolist(), size[size > SMALL].tolist()):
+        own = words[start : start + n]
+        kept += [(start + i, start + j) for i, j in grown(n, lambda i, left, own=own: _near(own[left], own[i]))]
+    return tuple(np.array(kept, np.int64).reshape(-1, 2).T)
+
+
+def _met(nodes: DataFrame, grid: Grid, cell_size: int) -> DataFrame:
+    """a < b: ties between near nodes that share a cell."""
+    spark = nodes.sparkSession
+    names = ["cell", "node", *(f"w{k}" for k in range(LEAD))]
+    schema = ", ".join(f"{c} long" for c in names)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             long = _unpacked(batch.column(1))
-            node, word = batch.column(0).to_numpy(), long[:, 0]
-            cell = grid.cells(long).ravel()
-            row = np.repeat(np.arange(len(node)), grid.grids)
-            order = np.lexsort((node[row], cell))
-            cell, row = cell[order], row[order]
-            hub, tied = starred(cell, node[row], word[row])
-            yield from _table(["cell", "node", "word"], cell[~tied], node[row][~tied], word[row][~tied].view(np.int64))
-            pairs = np.unique(np.stack([node[row][hub][tied], node[row][tied]]), axis=1)
-            # pairs go along under cells of their own, all below zero
-            yield from _table(["cell", "node", "word"], -1 - (pairs[1] & 0xFFFF), pairs[0], pairs[1])
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the first row of the cell that the last batch ended in
-        for batch in batches:
-            cell, node, word = (c.to_numpy() for c in batch.columns)
-            if not len(cell):
-                continue
-            found = cell < 0
-            yield from _table(["a", "b"], node[found], word[found])
-            cell, node, word = cell[~found], node[~found], word[~found].view(np.uint64)
-            if not len(cell):
-                continue
-            if before is not None and before[0] == cell[0]:
-                cell, node, word = (np.append(x, y) for x, y in zip(before, (cell, node, word)))
-                word = word.astype(np.uint64)
-            hub, tied = starred(cell, node, word)
-            yield from _table(["a", "b"], node[hub][tied], node[tied])
-            before = (cell[hub[-1]], node[hub[-1]], word[hub[-1]])
-
-    rows = nodes.select("node", "print").mapInArrow(entries, "cell long, node long, word long")
-    out = rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(stars, "a long, b long")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _across(nodes: DataFrame, grid: Grid, cell_size: int) -> DataFrame:
-    """a < b: near nodes of different roots that share a cell."""
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            long = _unpacked(batch.column(2))
             row = np.repeat(np.arange(len(long)), grid.grids)
-            yield from _table(["cell", "node", "root", "word"], grid.cells(long).ravel(), batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], long[row, 0].view(np.int64))
+            yield from _table(names, grid.cells(long).ravel(), batch.column(0).to_numpy()[row], *(long[row, k].view(np.int64) for k in range(LEAD)))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            cell, node, root, word = rows
-            word = word.view(np.uint64)
-            edge = np.append(np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)), len(cell))
-            size = np.diff(edge)
-            left = np.repeat(edge[1:], size) - np.arange(len(cell)) - 1  # rows behind each one in its group
-            a, b = [], []
-            for step in range(1, int(size.max())):
-                at = np.flatnonzero(left >= step)
-                at = at[root[at] != root[at + step]]
-                at = at[_near(word[at], word[at + step])]
-                a.append(np.minimum(node[at], node[at + step]))
-                b.append(np.maximum(node[at], node[at + step]))
-            if a:
-                yield from _table(["a", "b"], *np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1))
-
-    rows = nodes.select("node", "root", "print").mapInArrow(entries, "cell long, node long, root long, word long")
-    mixed = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where((F.col("n") > cell_size) & (F.col("r1") != F.col("r2")))
-    mixed = common.stored(mixed.select("cell", F.ceil(F.col("n") / cell_size).cast("int").alias("parts")), "crowded")
-    if mixed.isEmpty():
-        dealt = rows.withColumnRenamed("cell", "deal")
-    else:
-        part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")
-        dealt = (
-            rows.join(mixed, "cell", "left")
-            .withColumn("part", part)
-            .select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
-            .select(F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("deal"), "node", "root", "word")
-        )
-    return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(pairs, "a long, b long").distinct()
+            words = np.ascontiguousarray(rows[2:].T).view(np.uint64)
+            i, j = _ties(rows[0], words)
+            x, y = rows[1][i], rows[1][j]
+            yield from _table(["a", "b"], *np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+
+    rows = nodes.select("node", "print").mapInArrow(entries, schema)
+    crowded = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_size)
+    crowded = common.stored(crowded.select("cell", F.ceil(F.col("n") / cell_size).cast("int").alias("parts")), "crowded")
+    dealt = rows.withColumnRenamed("cell", "deal") if crowded.isEmpty() else _dealt(rows, crowded, "cell", names[1:])
+    out = dealt.repartition("deal").sortWithinPartitions("deal", "node").mapInArrow(ties, "a long, b long")
+    return common.stored(out.distinct(), "ties")
+
+
+def _dealt(rows: DataFrame, crowded: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """deal and the columns: rows of crowded keys (key, parts) once for each part that theirs is paired with, others once."""
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
+    rows = rows.join(common.few(crowded), key, "left").withColumn("part", part).select(key, *columns, "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    return rows.select(F.xxhash64(key, F.least("part", "other"), F.greatest("part", "other")).alias("deal"), *columns)
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -249,25 +243,55 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "print_a", "print_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = found.join(used, "node", "left_semi").groupBy("node").agg(F.min("version").alias("version"))
-    texts = docs.select("text", F.xxhash64("text").alias("version")).join(one, "version").groupBy("node").agg(F.first("text").alias("text"))
+def similar_among(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the similar ones among sets, through an index of their elements."""
+    if len(sets) == 2:
+        return [(0, 1)] if similar(*sets) else []
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    element, owner = flat[order], owner[order]
+
+    def partners(i: int, left: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(element, sets[i], "left"), np.searchsorted(element, sets[i], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))[left]
+        return (NUM + DEN) * both >= NUM * (size[i] + size[left])
+
+    return grown(len(sets), partners)
+
+
+def _verified(blocks: DataFrame, docs: DataFrame, found: DataFrame, cell_size: int) -> DataFrame:
+    """a < b: links that connect all similar nodes of each block (node, root)."""
+    one = found.join(blocks, "node").groupBy("node").agg(F.min("version").alias("version"), F.first("root").alias("block"))
+    texts = docs.select("text", F.xxhash64("text").alias("version")).join(one, "version").groupBy("node").agg(F.first("block").alias("block"), F.first("text").alias("text"))
     texts = common.stored(texts, "texts")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, np.zeros(0, np.uint64)
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nodes, sets = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                pairs = [sorted((nodes[i], nodes[j])) for i, j in similar_among(sets)]
+                if pairs:
+                    yield from _table(["a", "b"], *np.array(pairs, np.int64).T)
+
         for batch in batches:
-            ok = []
-            for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if a != last:
-                    last, own = a, shingles(x)
-                ok.append(similar(own, shingles(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    side = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    out = common.stored(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long"), "similar")
+            for deal, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if deal != last:
+                    yield from close()
+                    last, nodes, sets = deal, [], []
+                nodes.append(node)
+                sets.append(shingles(text))
+        yield from close()
+
+    n, size = F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))
+    parts = F.greatest(F.ceil(n / cell_size), F.ceil(size / BLOCK_BYTES)).cast("int").alias("parts")
+    crowded = common.stored(texts.groupBy("block").agg(parts).where("parts > 1"), "crowded")
+    dealt = _dealt(texts, crowded, "block", ["node", "text"])
+    out = dealt.repartition("deal").sortWithinPartitions("deal", "node").mapInArrow(links, "a long, b long")
+    out = common.stored(out, "similar")
     common.forget(texts)
     return out
 
@@ -280,14 +304,10 @@ def near_duplicates(docs: DataFrame, cell: int = CELL) -> DataFrame:
     grid = Grid(nodes.count())
     # a few thousand prints at a time: each enters all grids
     nodes = nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node"))
-    tried = common.stored(_bounded(_stars(nodes, grid), nodes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
-    close = _verified(tried, docs, found)
-    roots = components(close)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = common.stored(_bounded(_across(rooted, grid, cell), nodes).join(tried, ["a", "b"], "left_anti"), "across")
-    close = close.unionAll(_verified(more, docs, found))
-    roots = common.stored(components(close), "roots")
-    for df in (tried, more):
+    ties = _met(nodes, grid, cell)
+    blocks = common.stored(components(_bounded(ties, nodes)), "blocks")
+    roots = common.stored(components(_verified(blocks, docs, found, cell)), "roots")
+    for df in (ties, blocks):
         common.forget(df)
     return found.join(roots, "node", "left").select("doc_id", "version", F.coalesce("root", "node").alias("root"))
 
