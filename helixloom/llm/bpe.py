@@ -241,13 +241,12 @@ def codec(path: str) -> Codec:
 
 def encode(df: DataFrame, text: str = "text", into: str = "token_ids", path: str | None = None) -> DataFrame:
     """df with one more column: the ids of the text as array<int>. A column of that name is replaced."""
-    path = path or public_tokenizers.path(RANKS)
     common.ship(df.sparkSession)
     df = df.drop(into)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path or public_tokenizers.path(RANKS))  # found where the worker runs
         for batch in batches:
             ids = [own.encode(x) for x in batch.column(at).to_pylist()]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
@@ -259,13 +258,12 @@ def encode(df: DataFrame, text: str = "text", into: str = "token_ids", path: str
 
 def decode(df: DataFrame, ids: str = "token_ids", into: str = "decoded", path: str | None = None) -> DataFrame:
     """df with one more column: the bytes that the ids stand for (null: none)."""
-    path = path or public_tokenizers.path(RANKS)
     common.ship(df.sparkSession)
     df = df.drop(into)
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path or public_tokenizers.path(RANKS))  # found where the worker runs
         for batch in batches:
             texts = [own.decode(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, into])
@@ -275,11 +273,10 @@ def decode(df: DataFrame, ids: str = "token_ids", into: str = "decoded", path: s
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, number of tokens, and hashes of the ids and of what they decode to, for each row of docs."""
-    path = path or public_tokenizers.path(RANKS)
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path or public_tokenizers.path(RANKS))  # found where the worker runs
         for batch in batches:
             ids = [own.encode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

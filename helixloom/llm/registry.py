@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_calls": toolcalls.SQL, "op4_decontamination": decontam.SQL, "op7_quality_rules": quality.SQL}
+    return {"op1_tool_calls": toolcalls.SQL, "op3_substring_dedup": substrings.SQL, "op4_decontamination": decontam.SQL, "op7_quality_rules": quality.SQL}

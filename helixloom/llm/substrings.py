@@ -292,5 +292,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 19], ' ')) AS h FROM s),
+f AS (SELECT h, min({'d': doc_id, 'i': i}) AS first FROM g GROUP BY h HAVING count(*) > 1),
+l AS (SELECT doc_id, i FROM g JOIN f ON g.h = f.h WHERE {'d': doc_id, 'i': i} > first),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM l),
+k AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+r AS (SELECT k.doc_id, count(c.p) AS n, string_agg(word, ' ' ORDER BY k.p) FILTER (c.p IS NULL) AS kept FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.p = c.p GROUP BY k.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
+
 def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()

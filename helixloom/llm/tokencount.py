@@ -181,11 +181,10 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit and fit_chars (characters of the longest prefix within the limit)."""
-    path = path or public_tokenizers.path(VOCABULARY)
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own = counter(path or public_tokenizers.path(VOCABULARY))  # found where the worker runs
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = [own.fit_fast(x, limit) for x in texts]
