@@ -183,3 +183,45 @@ def test_workflow_refines_a_small_deletion(spark):
     assert len(r.ref) - len(r.alt) == gone and "IMPRECISE" not in r.info and f"SVLEN=-{gone}" in r.info
     assert ref[: r.pos - 1] + r.alt + ref[r.pos - 1 + len(r.ref) :] == ref[:at] + ref[at + gone :]
     assert r.samples[0].startswith("0/1:PASS") and r.filter == []
+
+
+def planted_pairs(sample, deleted, rng, gap=2000, at=20_000, n=50):
+    """Pairs that tile a contig of 60 kb, with or without a deletion; those over its ends are left out."""
+    rows = []
+    for i, start in enumerate(range(0, 40_000, 40)):
+        size = rng.randrange(180, 320)
+        left, right = start, start + size - n
+        if deleted and (left < at < left + n or right < at < right + n):
+            continue
+        move = lambda p: p + gap if deleted and p + n > at else p
+        a, b = move(left), move(right)
+        for flag, p, m, t in ((99, a, b, b + n - a), (147, b, a, a - b - n)):
+            rows.append((f"s{sample}f{i}", flag, sample, 0, p, 60, f"{n}M", 0, m, t, "A" * n, [30] * n, None, None, {}))
+    return rows
+
+
+READS = "qname string, flag int, sample int, tid int, pos0 int, mapq int, cigar string, mate_tid int, mate_pos0 int, tlen int, seq string, qual array<int>, sa string, mc string, tags map<string,string>"
+
+
+def test_workflow_scores_a_somatic_deletion(spark):
+    import random
+
+    rng = random.Random(3)
+    reads = spark.createDataFrame(planted_pairs(0, False, rng) + planted_pairs(1, True, rng), READS)
+    contigs = spark.createDataFrame([(0, "ctgOne", 60_000)], "tid int, label string, length int")
+    (r,) = workflow.run(reads, contigs, workflow.Options(normals=1, tumours=1)).collect()
+    score = int(r.info.split("SOMATICSCORE=")[1].split(";")[0])
+    assert "SOMATIC;" in r.info and score > 0 and r.filter == ["MinSomaticScore"] * (score < 30) and r.format == "PR:SR" and len(r.samples) == 2
+    assert r.samples[0].split(":")[0].endswith(",0") and not r.samples[1].split(":")[0].endswith(",0")
+
+
+def test_workflow_marks_a_deep_locus(spark):
+    """Reads heaped on one breakend are above three times the contig's depth."""
+    import random
+
+    rng = random.Random(4)
+    rows = planted_pairs(0, True, rng)
+    heap = [(f"heap{i}", f, 0, 0, p, 60, "50M", 0, m, t, "A" * 50, [30] * 50, None, None, {}) for i in range(80) for f, p, m, t in ((99, 19_650 + 3 * i, 19_820 + 3 * i, 220), (147, 19_820 + 3 * i, 19_650 + 3 * i, -220))]
+    contigs = spark.createDataFrame([(0, "ctgOne", 60_000)], "tid int, label string, length int")
+    (r,) = workflow.run(spark.createDataFrame(rows + heap, READS), contigs).collect()
+    assert "MaxDepth" in r.filter
