@@ -153,7 +153,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: in
     parts = F.ceil(F.col("n") / cell).cast("int")
     part = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
     dealt = (
-        entries.join(crowded, ["choice", "cell"])
+        # Spark takes the entries for as small as the fingerprints that they come from, and would broadcast them all
+        entries.join(crowded.hint("merge"), ["choice", "cell"])
         .withColumn("parts", parts)
         .withColumn("part", part)
         .select("choice", "cell", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
