@@ -385,13 +385,30 @@ def without_overlaps(records: DataFrame, pad: int = 350) -> DataFrame:
 
 
 def merged_inversions(records: DataFrame, near: int = 250) -> DataFrame:
-    """Inversions whose ends lie near each other as one; the first by place stays."""
-    inv = records.where(info("SVTYPE") == "INV").withColumn("_end", end_pos())
-    other = inv.select(F.col("chrom").alias("o_chrom"), F.col("pos").alias("o_pos"), F.col("_end").alias("o_end"), F.col("id").alias("o_id"))
-    a = inv.withColumns({"_b": F.col("pos") - near, "_e": F.col("pos") + near + 1})
-    hit = intervals.overlap_join(a, other.withColumn("o_stop", F.col("o_pos") + 1), left_cols=("chrom", "_b", "_e"), right_cols=("o_chrom", "o_pos", "o_stop"))
-    later = hit.where((F.abs(F.col("_end") - F.col("o_end")) <= near) & ((F.col("o_pos") < F.col("pos")) | ((F.col("o_pos") == F.col("pos")) & (F.col("o_id") < F.col("id"))))).select("id").distinct()
-    return records.join(later, "id", "left_anti")
+    """Inversions whose ends lie near each other as one; the first by place stays.
+
+    Both ends are cut into squares of near + 1 places. All records of a square are near each other, so only its first
+    can stay. It is held against the distinct places in the five squares that lie before and beside its own, so each
+    place meets at most a few first ones, however many records are stacked.
+    """
+    is_inv = F.coalesce((info("SVTYPE") == "INV") & F.col("chrom").isNotNull() & F.col("pos").isNotNull() & end_pos().isNotNull(), F.lit(False))
+    place = ["chrom", "_pos", "_end", "_none"]
+    inv = records.where(is_inv).withColumns({"_pos": F.col("pos").cast("long"), "_end": end_pos().cast("long"), "_none": F.col("id").isNull()})
+    square = lambda c: F.expr(f"CAST(floor({c} / {near + 1}) AS BIGINT)")
+    points = inv.groupBy(*place).agg(F.min("id").alias("_id")).withColumns({"_row": square("_end"), "_column": square("_pos")})
+    w = Window.partitionBy("chrom", "_row", "_column")
+    ranked = points.withColumn("_first", F.min("_pos").over(w)).withColumn("_least", F.min(F.when(F.col("_pos") == F.col("_first"), F.col("_id"))).over(w))
+    # a record without an id neither goes before others of its place nor after them
+    first = ranked.where((F.col("_pos") == F.col("_first")) & F.coalesce(F.col("_id") <= F.col("_least"), F.lit(True)))
+    about = F.array(*[F.struct((F.col("_row") + r).alias("r"), (F.col("_column") + c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0) if (r, c) != (0, 0)])
+    asked = first.select(*place, "_id", F.explode(about).alias("_s")).select(*place, "_id", F.col("_s.r").alias("_row"), F.col("_s.c").alias("_column"))
+    other = points.select(F.col("chrom").alias("o_chrom"), F.col("_pos").alias("o_pos"), F.col("_end").alias("o_end"), F.col("_id").alias("o_id"), F.col("_row").alias("o_row"), F.col("_column").alias("o_column"))
+    before = (F.col("o_pos") < F.col("_pos")) | ((F.col("o_pos") == F.col("_pos")) & (F.col("o_id") < F.col("_id")))
+    met = (F.col("chrom") == F.col("o_chrom")) & (F.col("_row") == F.col("o_row")) & (F.col("_column") == F.col("o_column"))
+    later = asked.join(other, met & (F.col("_pos") - F.col("o_pos") <= near) & (F.abs(F.col("_end") - F.col("o_end")) <= near) & before, "left_semi").select(*place).distinct()
+    stay = first.select(*place, "_id").join(later, place, "left_anti")
+    kept = inv.join(stay.withColumnsRenamed({c: f"s{c}" for c in (*place, "_id")}), F.expr("chrom = schrom AND _pos = s_pos AND _end = s_end AND _none = s_none AND id <=> s_id"), "left_semi")
+    return records.where(~is_inv).unionByName(kept.select(*records.columns))
 
 
 def refiltered(records: DataFrame, least: int) -> DataFrame:
