@@ -52,22 +52,30 @@ def junctions(calls: DataFrame) -> DataFrame:
 
 
 def alt_pairs(found: DataFrame, pairs: DataFrame, shares: DataFrame) -> DataFrame:
-    """Pairs whose reads point at both breakends, from within reach of them: alt_pair by the size that the junction gives them."""
+    """Pairs whose reads point at both breakends, from within reach of them: alt_pair by the size that the junction gives them.
+
+    One row for each row of pairs and junction: where both orders of a pair's reads fit, the first read at the first
+    breakend counts.
+    """
+    at = lambda k: F.when(F.col(f"fwd{k}"), F.col(f"end{k}")).otherwise(F.col(f"pos{k}"))
+    begin = lambda k: F.when(F.col(f"fwd{k}"), at(k)).otherwise(at(k) - F.col("pp_max"))
+    end = lambda k: F.when(F.col(f"fwd{k}"), at(k) + F.col("pp_max")).otherwise(at(k)) + 1
+    open_ = lambda k: F.when(F.col(f"fwd{k}"), 1).otherwise(2)
+    part = lambda k, c: F.when(F.col(f"fwd{k}"), F.col(c) - F.col(f"pos{k}")).otherwise(F.col(f"end{k}") - F.col(c))
+
+    def fits(a: int, b: int):
+        own = (F.col(f"tid{a}") == F.col("j_tid")) & intervals.intersects(begin(a), end(a), F.col("j_begin"), F.col("j_end"))
+        near = (F.col(f"tid{b}") == F.col("b_tid2")) & F.when(F.col(f"fwd{b}"), (at(b) < F.col("b_end2")) & (at(b) + F.col("pp_max") >= F.col("b_begin2"))).otherwise((at(b) > F.col("b_begin2")) & (at(b) - F.col("pp_max") <= F.col("b_end2")))
+        return own & (open_(a) == F.col("b_state1")) & (open_(b) == F.col("b_state2")) & near
+
+    j = found.select(*KEYS, F.col("b_tid1").alias("j_tid"), F.col("b_begin1").alias("j_begin"), F.col("b_end1").alias("j_end"), "b_state1", "b_state2", "b_tid2", "b_begin2", "b_end2", "c1", "c2")
     ends = []
     for a, b in ((1, 2), (2, 1)):
-        left = pairs.withColumn("_at", F.when(F.col(f"fwd{a}"), F.col(f"end{a}")).otherwise(F.col(f"pos{a}")))
-        reach = left.withColumns({"_b": F.when(F.col(f"fwd{a}"), F.col("_at")).otherwise(F.col("_at") - F.col("pp_max")), "_e": F.when(F.col(f"fwd{a}"), F.col("_at") + F.col("pp_max")).otherwise(F.col("_at")) + 1})
-        j = found.select(*KEYS, F.col("b_tid1").alias("j_tid"), F.col("b_begin1").alias("j_begin"), F.col("b_end1").alias("j_end"), "b_state1", "b_state2", "b_tid2", "b_begin2", "b_end2", "c1", "c2")
-        hit = intervals.overlap_join(reach, j, left_cols=(f"tid{a}", "_b", "_e"), right_cols=("j_tid", "j_begin", "j_end"))
-        open_ = lambda k: F.when(F.col(f"fwd{k}"), 1).otherwise(2)
-        other = F.when(F.col(f"fwd{b}"), F.col(f"end{b}")).otherwise(F.col(f"pos{b}"))
-        near = (F.col(f"tid{b}") == F.col("b_tid2")) & F.when(F.col(f"fwd{b}"), (other < F.col("b_end2")) & (other + F.col("pp_max") >= F.col("b_begin2"))).otherwise((other > F.col("b_begin2")) & (other - F.col("pp_max") <= F.col("b_end2")))
-        hit = hit.where((open_(a) == F.col("b_state1")) & (open_(b) == F.col("b_state2")) & near)
-        part = lambda k, c: F.when(F.col(f"fwd{k}"), F.col(c) - F.col(f"pos{k}")).otherwise(F.col(f"end{k}") - F.col(c))
+        hit = intervals.overlap_join(pairs.withColumns({"_b": begin(a), "_e": end(a)}), j, left_cols=(f"tid{a}", "_b", "_e"), right_cols=("j_tid", "j_begin", "j_end")).where(fits(a, b))
+        hit = hit if a == 1 else hit.where(~F.coalesce(fits(1, 2), F.lit(False)))
         ends.append(hit.select(*KEYS, "sample", "qname", (part(a, "c1") + part(b, "c2")).cast("long").alias("alt_size"), "mapq1", "mapq2"))
-    both = ends[0].unionByName(ends[1]).dropDuplicates([*KEYS, "sample", "qname"])
     # an imprecise centre may be off by the breakend's width, so a size out of range still counts as the least support
-    return with_probability(both, shares, "alt_size", "alt_pair").withColumn("alt_pair", F.greatest("alt_pair", F.lit(0.01)))
+    return with_probability(ends[0].unionByName(ends[1]), shares, "alt_size", "alt_pair").withColumn("alt_pair", F.greatest("alt_pair", F.lit(0.01)))
 
 
 def ref_pairs(found: DataFrame, pairs: DataFrame, shares: DataFrame, side: int = MIN_SIDE) -> DataFrame:

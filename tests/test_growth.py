@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from helixloom.operators import vcf
+from helixloom.operators import support, vcf
 
 
 def test_merged_inversions_equal_all_pairs(spark):
@@ -31,3 +31,16 @@ def test_stacked_inversions_meet_in_proportion(spark):
     """100,000 records on 500 places of one contig: all against all would be 5 * 10^9 pairs."""
     df = spark.range(100_000).select(F.concat(F.lit("v"), "id").alias("id"), F.lit("x").alias("chrom"), (F.col("id") % 500).cast("int").alias("pos"), F.lit("A").alias("ref"), F.concat(F.lit("SVTYPE=INV;END="), F.col("id") % 500 + 1000).alias("info"))
     assert sorted(r.id for r in vcf.merged_inversions(df, 250).collect()) == ["v0"]
+
+
+def test_pairs_of_one_name_are_told_apart(spark):
+    """Each row of pairs that fits a junction counts; where both orders of its reads fit, the first read at the first breakend."""
+    pair = lambda name, pos, fwd2=False: ("s", name, 300, 0, pos, pos + 50, True, 0, pos + 500, pos + 550, fwd2, 60, 60)
+    pairs = spark.createDataFrame([pair("a", 100), pair("a", 120), pair("b", 110)], "sample string, qname string, pp_max int, tid1 int, pos1 int, end1 int, fwd1 boolean, tid2 int, pos2 int, end2 int, fwd2 boolean, mapq1 int, mapq2 int")
+    j = spark.createDataFrame([("e", 1, 0, 200, 240, 1, 0, 560, 600, 2, 219, 579)], "event string, junction int, b_tid1 int, b_begin1 int, b_end1 int, b_state1 int, b_tid2 int, b_begin2 int, b_end2 int, b_state2 int, c1 int, c2 int")
+    shares = spark.createDataFrame([("s", 190, 0.5)], "sample string, size long, share double")
+    got = sorted((r.qname, r.alt_size, r.alt_pair) for r in support.alt_pairs(j, pairs, shares).collect())
+    assert got == [("a", 190, 0.5), ("a", 190, 0.5), ("b", 190, 0.5)]
+    both = pairs.where("qname = 'b'").withColumns({"fwd2": F.lit(True), "pos2": F.lit(120), "end2": F.lit(170)})
+    near = j.withColumns({"b_state2": F.lit(1), "b_begin2": F.lit(200), "b_end2": F.lit(240), "c2": F.lit(229)})
+    assert [r.alt_size for r in support.alt_pairs(near, both, shares).collect()] == [(219 - 110) + (229 - 120)]
