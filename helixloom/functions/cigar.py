@@ -9,6 +9,12 @@ PATTERN = "([0-9]+)([MIDNSHP=X])"
 #: Operations that use up read bases, reference bases, and both.
 READ, REF, MATCH = ("M", "I", "S", "=", "X"), ("M", "D", "N", "=", "X"), ("M", "=", "X")
 _TYPE = "array<struct<op:string,len:int>>"
+_STARTS = "array<struct<op:string,len:int,read:int,ref:int>>"
+
+
+def once(value: Column, f) -> Column:
+    """f of value, worked out once a row however often f names it; inside a lambda an expression is else worked out anew for each element and each mention."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def parse(cigar: Column) -> Column:
@@ -104,39 +110,55 @@ def insert_trail(path: Column) -> Column:
     return _total(F.slice(back, 1, _edge(back)), ("I",))
 
 
-def joined(path: Column) -> Column:
-    """Neighbours of one operation as one, without operations of length zero."""
-    kept = F.filter(path, lambda s: s["len"] > 0)
-    step = lambda a, s: F.when(
-        (F.size(a) > 0) & (F.element_at(a, -1)["op"] == s["op"]),
-        F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(s["op"].alias("op"), (F.element_at(a, -1)["len"] + s["len"]).alias("len")))),
-    ).otherwise(F.concat(a, F.array(s)))
-    return F.aggregate(kept, F.array().cast(_TYPE), lambda a, s: F.when(F.size(a) == 0, F.array(s)).otherwise(step(a, s)))
+def _appended(out: Column, op: Column, n: Column) -> Column:
+    """out with n bases of op at its end, in its last operation if that is the same; as it is if n is not above 0."""
+    last = F.get(out, F.size(out) - 1)
+    grown = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(op.alias("op"), (last["len"] + n).alias("len"))))
+    return F.when(n > 0, F.when(last["op"] == op, grown).otherwise(F.concat(out, F.array(F.struct(op.alias("op"), n.alias("len")))))).otherwise(out)
+
+
+def joined(path: Column, named=lambda op: op) -> Column:
+    """Neighbours of one operation as one, without operations of length zero. named: what each operation is called first."""
+    return F.aggregate(path, F.array().cast(_TYPE), lambda a, s: _appended(a, named(s["op"]), s["len"]))
 
 
 def collapsed_matches(path: Column) -> Column:
     """= and X as M."""
-    return joined(F.transform(path, lambda s: F.struct(F.when(s["op"].isin("=", "X"), "M").otherwise(s["op"]).alias("op"), s["len"].alias("len"))))
+    return joined(path, lambda op: F.when(op.isin("=", "X"), "M").otherwise(op))
 
 
 def with_starts(path: Column) -> Column:
-    """array<struct<op,len,read,ref>>: each operation with the read and reference bases before it."""
-    before = lambda i, ops: _total(F.slice(path, 1, i), ops)
-    return F.transform(path, lambda s, i: F.struct(s["op"].alias("op"), s["len"].alias("len"), before(i, READ).alias("read"), before(i, REF).alias("ref")))
+    """array<struct<op,len,read,ref>>: each operation with the read and reference bases before it, in one pass."""
+    grown = lambda a, s, n, ops: (a[n] + F.when(s["op"].isin(*ops), s["len"]).otherwise(0)).alias(n)
+    own = lambda a, s: F.array(F.struct(s["op"].alias("op"), s["len"].alias("len"), a["read"].alias("read"), a["ref"].alias("ref")))
+    start = F.struct(F.array().cast(_STARTS).alias("out"), F.lit(0).alias("read"), F.lit(0).alias("ref"))
+    step = lambda a, s: F.struct(F.concat(a["out"], own(a, s)).alias("out"), grown(a, s, "read", READ), grown(a, s, "ref", REF))
+    return F.aggregate(path, start, step, lambda a: a["out"])
+
+
+def _limited(path: Column, begin: Column, end: Column, ops) -> Column:
+    """The path between two places, counted in the bases that `ops` use up; other operations stay if they lie strictly inside. One pass."""
+
+    def within(w: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            at, counts = a["at"], s["op"].isin(*ops)
+            cut = F.least(at + s["len"], w["end"]) - F.greatest(at, w["begin"])
+            n = F.when(counts, cut).when((at > w["begin"]) & (at < w["end"]), s["len"]).otherwise(0)
+            return F.struct((at + F.when(counts, s["len"]).otherwise(0)).alias("at"), _appended(a["out"], s["op"], n).alias("out"))
+
+        return F.aggregate(path, F.struct(F.lit(0).alias("at"), F.array().cast(_TYPE).alias("out")), step, lambda a: a["out"])
+
+    return once(F.struct(begin.alias("begin"), end.alias("end")), within)
 
 
 def limited_to_read(path: Column, begin: Column, end: Column) -> Column:
     """The path of read bases [begin, end); operations without read bases stay if they lie strictly inside."""
-    cut = lambda s: F.greatest(F.least(s["read"] + s["len"], end) - F.greatest(s["read"], begin), F.lit(0))
-    size = lambda s: F.when(s["op"].isin(*READ), cut(s)).otherwise(F.when((s["read"] > begin) & (s["read"] < end), s["len"]).otherwise(0))
-    return joined(F.transform(with_starts(path), lambda s: F.struct(s["op"].alias("op"), size(s).alias("len"))))
+    return _limited(path, begin, end, READ)
 
 
 def limited_to_ref(path: Column, begin: Column, end: Column) -> Column:
     """The path of reference bases [begin, end), counted from the path's start."""
-    cut = lambda s: F.greatest(F.least(s["ref"] + s["len"], end) - F.greatest(s["ref"], begin), F.lit(0))
-    size = lambda s: F.when(s["op"].isin(*REF), cut(s)).otherwise(F.when((s["ref"] > begin) & (s["ref"] < end), s["len"]).otherwise(0))
-    return joined(F.transform(with_starts(path), lambda s: F.struct(s["op"].alias("op"), size(s).alias("len"))))
+    return _limited(path, begin, end, REF)
 
 
 def invalid_reason(path: Column, size: Column) -> Column:
@@ -156,7 +178,7 @@ def invalid_reason(path: Column, size: Column) -> Column:
 
 def matchified(path: Column) -> Column:
     """Soft clips at the edges as matches, joined with the matches beside them."""
-    return joined(F.transform(path, lambda s: F.struct(F.when(s["op"] == "S", "M").otherwise(s["op"]).alias("op"), s["len"].alias("len"))))
+    return joined(path, lambda op: F.when(op == "S", "M").otherwise(op))
 
 
 def matchified_start(pos: Column, path: Column) -> Column:

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from helixloom.functions import cigar
 from helixloom.operators import support, vcf
 
 
@@ -44,3 +45,15 @@ def test_pairs_of_one_name_are_told_apart(spark):
     both = pairs.where("qname = 'b'").withColumns({"fwd2": F.lit(True), "pos2": F.lit(120), "end2": F.lit(170)})
     near = j.withColumns({"b_state2": F.lit(1), "b_begin2": F.lit(200), "b_end2": F.lit(240), "c2": F.lit(229)})
     assert [r.alt_size for r in support.alt_pairs(near, both, shares).collect()] == [(219 - 110) + (229 - 120)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_a_cut_are_worked_out_once(spark):
+    """Not anew for each operation of the path; paths with repeated operations and empty cuts come out right."""
+    df = spark.createDataFrame([("3S5M2D4M1I6M2S", "x"), ("4M4M2I0D3I5M", "x"), ("", "x")], "c string, name string").withColumn("path", cigar.parse(F.col("c")))
+    cut = df.select("c", cigar.text(cigar.limited_to_read(F.col("path"), F.length("name") + 3, F.ascii("name") - 107)).alias("r"), cigar.text(cigar.matchified(F.col("path"))).alias("m"))
+    assert plan(cut).count("length(name") == 1 and plan(cut).count("ascii(name") == 1
+    assert [(r.r, r.m) for r in cut.collect()] == [("4M2D4M1I", "8M2D4M1I8M"), ("4M5I", "8M5I5M"), ("", "")]
