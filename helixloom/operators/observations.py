@@ -44,24 +44,31 @@ def from_indels(reads: DataFrame, contigs: DataFrame, options: R.Options = R.Opt
     """Large insertions and deletions. Insertions at a read's edge have one complex breakend; neighbours I and D are one swap."""
     path = F.col("path")
     matched = F.transform(path, lambda s: s["op"].isin(*cigar.MATCH))
-    first, last = F.array_position(matched, True) - 1, F.size(path) - F.array_position(F.reverse(matched), True)
+    sides = cigar.once(matched, lambda m: F.struct((F.array_position(m, True) - 1).alias("first"), (F.size(m) - F.array_position(F.reverse(m), True)).alias("last")))
     indel = lambda s: F.coalesce(s["op"].isin("I", "D"), F.lit(False))
-    starts = cigar.with_starts(path)
+
     # a run of I and D is told by its first operation, with the summed lengths of both kinds
-    steps = F.transform(
-        starts,
-        lambda s, i: F.struct(
-            s["op"].alias("op"),
-            s["ref"].alias("ref"),
-            ((i < first) | (i > last)).alias("edge"),
-            (indel(s) & ~indel(F.get(starts, i - 1))).alias("head"),
-            F.when(s["op"] == "D", s["len"]).otherwise(0).alias("d"),
-            F.when(s["op"] == "I", s["len"]).otherwise(0).alias("i"),
-            F.when(indel(F.get(starts, i + 1)), F.get(starts, i + 1)["op"]).alias("next_op"),
-            F.coalesce(F.get(starts, i + 1)["len"], F.lit(0)).alias("next_len"),
-        ),
-    )
-    df = _base(reads, contigs).where(R.local_indel(options.min_candidate_size)).select("*", F.explode(steps).alias("_s")).where("_s.head")
+    def heads(x: Column) -> Column:
+        starts = x["starts"]
+        firsts = F.filter(starts, lambda s, i: indel(s) & ~indel(F.get(starts, i - 1)))
+        places = F.filter(F.transform(starts, lambda s, i: F.when(indel(s) & ~indel(F.get(starts, i - 1)), i)), lambda i: i.isNotNull())
+        return F.zip_with(
+            firsts,
+            places,
+            lambda s, i: F.struct(
+                s["op"].alias("op"),
+                s["ref"].alias("ref"),
+                ((i < x["sides"]["first"]) | (i > x["sides"]["last"])).alias("edge"),
+                F.when(s["op"] == "D", s["len"]).otherwise(0).alias("d"),
+                F.when(s["op"] == "I", s["len"]).otherwise(0).alias("i"),
+                F.when(indel(F.get(starts, i + 1)), F.get(starts, i + 1)["op"]).alias("next_op"),
+                F.coalesce(F.get(starts, i + 1)["len"], F.lit(0)).alias("next_len"),
+            ),
+        )
+
+    steps = cigar.once(F.struct(cigar.with_starts(path).alias("starts"), sides.alias("sides")), heads)
+    # tested where the steps are made: as a filter it would go below the parsing of the path and parse it again
+    df = _base(reads, contigs).select("*", F.explode(F.when(R.local_indel(options.min_candidate_size), steps)).alias("_s"))
     d = F.col("_s.d") + F.when(F.col("_s.next_op") == "D", F.col("_s.next_len")).otherwise(0)
     i = F.col("_s.i") + F.when(F.col("_s.next_op") == "I", F.col("_s.next_len")).otherwise(0)
     df = df.withColumns({"_d": d, "_i": i, "_left": F.col("pos0") + F.col("_s.ref")})

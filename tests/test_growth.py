@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from helixloom.functions import cigar
-from helixloom.operators import support, vcf
+from helixloom.operators import observations, support, vcf
+from helixloom.operators import reads as R
 
 
 def test_merged_inversions_equal_all_pairs(spark):
@@ -57,3 +58,15 @@ def test_places_of_a_cut_are_worked_out_once(spark):
     cut = df.select("c", cigar.text(cigar.limited_to_read(F.col("path"), F.length("name") + 3, F.ascii("name") - 107)).alias("r"), cigar.text(cigar.matchified(F.col("path"))).alias("m"))
     assert plan(cut).count("length(name") == 1 and plan(cut).count("ascii(name") == 1
     assert [(r.r, r.m) for r in cut.collect()] == [("4M2D4M1I", "8M2D4M1I8M"), ("4M5I", "8M5I5M"), ("", "")]
+
+
+FLAGGED = "qname string, flag int, sample int, tid int, pos0 int, cigar string, sa string"
+CONTIGS = [(0, "c0", 5000), (1, "c1", 5000)]
+
+
+def test_paths_of_indels_are_parsed_once(spark):
+    """The test for an indel does not parse the path again below the step that takes it apart."""
+    reads = R.with_flags(spark.createDataFrame([("a", 0, 0, 0, 100, "5S40M9D20M12I3D30M", None), ("b", 0, 0, 0, 100, "40M3D20M", None), ("c", 0, 0, 0, 100, "10I40M", None)], FLAGGED))
+    found = observations.from_indels(reads, spark.createDataFrame(CONTIGS, "tid int, label string, length int"))
+    assert plan(found).count("regexp_extract_all") == 2
+    assert sorted((r.qname, r.bp1_state, r.bp1_begin, r.bp2_begin) for r in found.collect()) == [("a", 1, 120, 129), ("a", 1, 149, 152), ("c", 3, 80, 80)]
