@@ -86,31 +86,30 @@ def from_indels(reads: DataFrame, contigs: DataFrame, options: R.Options = R.Opt
 
 def split_segments(sa: Column) -> Column:
     """array<struct<chrom,pos0,strand,cigar,mapq>> of a split tag; a malformed segment raises."""
-    parts = F.filter(F.split(sa, ";"), lambda x: x != "")
-    bad = lambda x: F.raise_error(F.concat(F.lit("Unexpected format in the split alignment segment: "), x))
-    fields = lambda x: F.split(x, ",")
-    ok = lambda x: (F.size(fields(x)) == 6) & F.get(fields(x), 2).isin("+", "-")
-    part = lambda x, k: F.when(ok(x), F.get(fields(x), k)).otherwise(bad(x).cast("string"))
-    return F.transform(parts, lambda x: F.struct(part(x, 0).alias("chrom"), (part(x, 1).cast("int") - 1).alias("pos0"), part(x, 2).alias("strand"), part(x, 3).alias("cigar"), part(x, 4).cast("int").alias("mapq")))
+    parts = F.transform(F.filter(F.split(sa, ";"), lambda x: x != ""), lambda x: F.split(x, ","))
+    bad = lambda f: F.raise_error(F.concat(F.lit("Unexpected format in the split alignment segment: "), F.array_join(f, ",")))
+    ok = lambda f: (F.size(f) == 6) & F.get(f, 2).isin("+", "-")
+    checked = F.transform(parts, lambda f: F.when(ok(f), f).otherwise(bad(f).cast("array<string>")))
+    part = lambda f, k: F.get(f, k)
+    return F.transform(checked, lambda f: F.struct(part(f, 0).alias("chrom"), (part(f, 1).cast("int") - 1).alias("pos0"), part(f, 2).alias("strand"), part(f, 3).alias("cigar"), part(f, 4).cast("int").alias("mapq")))
 
 
 def from_splits(reads: DataFrame, contigs: DataFrame, options: R.Options = R.Options()) -> DataFrame:
     """Reads with just one split segment of enough quality; the evidence is local only."""
-    segments = split_segments(F.col("sa"))
-    df = _base(reads.where("is_split"), contigs).withColumn("_segments", segments).where("size(_segments) = 1").withColumn("_sa", F.get("_segments", F.lit(0)))
+    # one row for a read with one segment, none for others; a filter would go below and take the tag apart again
+    single = cigar.once(split_segments(F.col("sa")), lambda x: F.when(F.size(x) == 1, x))
+    df = _base(reads.where("is_split"), contigs).select("*", F.explode(single).alias("_sa"))
     df = df.where(F.col("_sa.mapq") >= options.min_mapq)
     other = contigs.select(F.col("label").alias("_chrom"), F.col("tid").alias("_rtid"), F.col("length").alias("_rlength"))
     df = df.join(F.broadcast(other), F.col("_sa.chrom") == F.col("_chrom"), "left")
     df = df.withColumn("_rtid", F.coalesce("_rtid", F.raise_error(F.concat(F.lit("Split alignment segment maps to an unknown chromosome: "), F.col("_sa.chrom"))).cast("int"))).withColumn("_rpath", cigar.parse(F.col("_sa.cigar")))
 
-    def side(path: Column, pos: Column, length: Column):
-        downstream = cigar.clip_lead(path) < cigar.clip_trail(path)
-        at = F.when(downstream, pos + cigar.ref_length(path)).otherwise(pos)
-        return F.when(downstream, RIGHT_OPEN).otherwise(LEFT_OPEN), *window(at, length, options.breakend_size)
-
-    s1, b1, e1 = side(F.col("path"), F.col("pos0"), F.col("_length"))
-    s2, b2, e2 = side(F.col("_rpath"), F.col("_sa.pos0"), F.col("_rlength"))
-    return _rows(df, "SPLIT_ALIGN", bp1_state=s1, bp1_tid=F.col("tid"), bp1_begin=b1, bp1_end=e1, bp2_state=s2, bp2_tid=F.col("_rtid"), bp2_begin=b2, bp2_end=e2, w_local=F.lit(WEIGHT), w_remote=F.lit(0))
+    downstream = lambda path: cigar.clip_lead(path) < cigar.clip_trail(path)
+    df = df.withColumns({"_down1": downstream(F.col("path")), "_down2": downstream(F.col("_rpath"))})
+    df = df.withColumns({f"_at{k}": F.when(F.col(f"_down{k}"), F.col(pos) + cigar.ref_length(F.col(path))).otherwise(F.col(pos)) for k, pos, path in ((1, "pos0", "path"), (2, "_sa.pos0", "_rpath"))})
+    state = lambda k: F.when(F.col(f"_down{k}"), RIGHT_OPEN).otherwise(LEFT_OPEN)
+    (b1, e1), (b2, e2) = (window(F.col(f"_at{k}"), F.col(length), options.breakend_size) for k, length in ((1, "_length"), (2, "_rlength")))
+    return _rows(df, "SPLIT_ALIGN", bp1_state=state(1), bp1_tid=F.col("tid"), bp1_begin=b1, bp1_end=e1, bp2_state=state(2), bp2_tid=F.col("_rtid"), bp2_begin=b2, bp2_end=e2, w_local=F.lit(WEIGHT), w_remote=F.lit(0))
 
 
 def transcript_strand(first: Column, fwd: Column, path: Column) -> Column:

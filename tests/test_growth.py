@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixloom.functions import cigar
@@ -70,3 +71,15 @@ def test_paths_of_indels_are_parsed_once(spark):
     found = observations.from_indels(reads, spark.createDataFrame(CONTIGS, "tid int, label string, length int"))
     assert plan(found).count("regexp_extract_all") == 2
     assert sorted((r.qname, r.bp1_state, r.bp1_begin, r.bp2_begin) for r in found.collect()) == [("a", 1, 120, 129), ("a", 1, 149, 152), ("c", 3, 80, 80)]
+
+
+def test_split_tags_are_taken_apart_once(spark):
+    """The tests of a split segment do not take the tag apart again; malformed segments raise with their text."""
+    row = lambda name, sa: (name, 0, 0, 0, 100, "40M20S", sa)
+    contigs = spark.createDataFrame(CONTIGS, "tid int, label string, length int")
+    reads = lambda *rows: R.with_flags(spark.createDataFrame(list(rows), FLAGGED))
+    found = observations.from_splits(reads(row("a", "c1,301,-,40S20M,60,0;"), row("b", "c1,301,-,40S20M,3,0;"), row("c", "c1,301,-,40S20M,60,0;c0,301,-,40S20M,60,0;"), row("d", None)), contigs)
+    assert plan(found).count("split(sa") == 1
+    assert [(r.qname, r.bp1_state, r.bp1_begin, r.bp2_state, r.bp2_tid, r.bp2_begin) for r in found.collect()] == [("a", 1, 120, 2, 1, 280)]
+    with pytest.raises(Exception, match="split alignment segment: c1,301,-,40S20M"):
+        observations.from_splits(reads(row("e", "c1,301,-,40S20M;")), contigs).collect()
