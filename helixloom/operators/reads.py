@@ -209,10 +209,14 @@ def depth_filtered(reads: DataFrame, windows: DataFrame, chrom_depth: DataFrame,
 
     windows has tid, begin, end, depth (a coverage table); total depth is used, so the order of reads plays no part.
     """
-    deep = windows.join(chrom_depth.select("tid", F.col("depth").alias("_limit")), "tid").where(F.col("depth") > F.col("_limit") * factor)
-    from .intervals import overlap_join
-
-    spans = reads.withColumn("_begin", F.col("pos0")).withColumn("_end", F.col("pos0") + 1)
-    hit = overlap_join(spans.select("sample", "qname", "flag", "tid", "pos0", "_begin", "_end"), deep.select(F.col("tid").alias("d_tid"), F.col("begin").alias("d_begin"), F.col("end").alias("d_end")), left_cols=("tid", "_begin", "_end"), right_cols=("d_tid", "d_begin", "d_end"))
-    hit = hit.select("sample", "qname", "flag", "tid", "pos0").distinct().withColumn("_deep", F.lit(True))
-    return reads.join(hit, ["sample", "qname", "flag", "tid", "pos0"], "left").withColumn("is_deep", F.coalesce("_deep", F.lit(False))).drop("_deep")
+    from .intervals import BIN, block_hulls
+
+    limits = F.broadcast(chrom_depth.select("tid", F.col("depth").alias("_limit")))  # a row for each contig
+    deep = windows.join(limits, "tid").where(F.col("depth") > F.col("_limit") * factor)
+    # hulls are cut at the ends of bins, so that a read's start lies in one bin and meets one row, whatever lies there
+    bin_of = lambda c: F.expr(f"CAST(floor({c} / {BIN}) AS BIGINT)")
+    cut = block_hulls(deep, touching=True).where("begin < end").withColumn("_bin", F.explode(F.sequence(bin_of("begin"), bin_of("(end - 1)"))))
+    pieces = cut.groupBy("tid", "_bin").agg(F.collect_set(F.struct("begin", "end")).alias("_pieces")).withColumnRenamed("tid", "_tid")
+    hit = F.exists("_pieces", lambda p: (p["begin"] <= F.col("pos0")) & (F.col("pos0") < p["end"]))
+    out = reads.withColumn("_at", bin_of("pos0")).join(pieces, (F.col("tid") == F.col("_tid")) & (F.col("_at") == F.col("_bin")), "left")
+    return out.withColumn("is_deep", F.coalesce(hit, F.lit(False))).drop("_at", "_tid", "_bin", "_pieces")
