@@ -86,9 +86,14 @@ def merge(protos: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
     """
     ends = protos.select(F.col("a.tid").alias("tid"), F.col("a.begin").alias("begin"), F.col("a.end").alias("end"), "w").unionAll(protos.select(F.col("b.tid").alias("tid"), F.col("b.begin").alias("begin"), F.col("b.end").alias("end"), F.lit(0).cast("long").alias("w")))
     spans = ends.groupBy("tid", "begin", "end").agg(F.sum("w").alias("w"))
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(checkpointed(df, "spans"))
+        return kept[-1]
+
     # islands by blocks of places; each interval lies in just one island's hull
-    hulls = intervals.merged(spans).select(F.col("tid").alias("h_tid"), "island", F.col("begin").alias("h_begin"), F.col("end").alias("h_end"))
-    numbered = intervals.overlap_join(spans, hulls, right_cols=("h_tid", "h_begin", "h_end")).drop("h_tid")
+    numbered = keep(intervals.with_hulls(spans, stored=keep))
     peaks = intervals.region_peak(numbered.where("w > 0"), ("tid", "island"), weight=F.col("w"))
     named = (
         numbered.join(peaks, ["tid", "island"], "left")
@@ -99,10 +104,12 @@ def merge(protos: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Dat
         )
     )
     node = checkpointed(named.withColumn("id", F.xxhash64("tid", "n_begin", "n_end")), "nodes")
+    for df in kept:
+        forget(df)
     at = lambda k: node.select(F.struct("tid", "begin", "end").alias(k), F.col("id").alias(f"{k}_id"))
     edges = protos.join(at("a"), "a").join(at("b"), "b").groupBy(F.col("a_id").alias("n1"), F.col("b_id").alias("n2")).agg(F.sum("w").alias("w"))
     edges = checkpointed(edges, "edges")
-    parts = connected_components(edges, "n1", "n2")
+    parts = checkpointed(connected_components(edges, "n1", "n2"), "parts")  # read for the nodes and for the edges
     nodes = node.select("id", "tid", F.col("n_begin").alias("begin"), F.col("n_end").alias("end")).distinct().join(parts, F.col("id") == F.col("node")).select(F.col("component").alias("locus"), "node", "tid", "begin", "end")
     return nodes, edges.join(parts.select(F.col("node").alias("n1"), F.col("component").alias("locus")), "n1").select("locus", "n1", "n2", "w")
 

@@ -109,6 +109,19 @@ def merged(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end",
     return islands(hulls, keys, touching=touching, gap=gap).groupBy(*keys, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
+def with_hulls(df: DataFrame, keys=("tid",), stored=lambda x: x) -> DataFrame:
+    """df (begin, end and others) with island, h_begin and h_end: the number and the hull of the island that each range is in.
+
+    Each range knows its island among those of its block, and each of these its island of the contig, so they are put
+    together by an equi-join and no range is repeated. stored: how to keep a table that is read more than once.
+    """
+    own = [*keys, "_block", "_local"]
+    local = stored(islands(df.withColumn("_block", F.expr(f"begin div {BLOCK}")), (*keys, "_block")).withColumnRenamed("island", "_local"))
+    whole = islands(local.groupBy(*own).agg(F.min("begin").alias("begin"), F.max("end").alias("end")), keys)
+    w = Window.partitionBy(*keys, "island")
+    return local.join(whole.select(*own, "island", F.min("begin").over(w).alias("h_begin"), F.max("end").over(w).alias("h_end")), own).drop("_block", "_local")
+
+
 def steps(df: DataFrame, keys=("tid",), begin: str = "begin", end: str = "end", weight: Column | None = None) -> DataFrame:
     """pos and change of the summed weight at each place where it changes; added up before any shuffle."""
     weight = F.lit(1).cast("long") if weight is None else weight

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixloom.functions import cigar
-from helixloom.operators import observations, support, vcf
+from helixloom.operators import graph, intervals, observations, support, vcf
 from helixloom.operators import reads as R
 
 
@@ -97,3 +97,18 @@ def test_depth_of_reads_by_place_alone(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(key((r.qname, r.tid, r.pos0, r.is_deep)) for r in out.collect()) == sorted(key((*r, deep(r))) for r in reads)
     assert out.columns == [*df.columns, "is_deep"]
+
+
+def test_ranges_find_their_hulls_without_an_overlap_join(spark, monkeypatch):
+    """The graph's intervals are put into their islands by an equi-join, whether islands lie in one block of places or in several."""
+    rng = random.Random(7)
+    rows = [(k, rng.randrange(2), b := rng.choice([0, intervals.BLOCK, 3 * intervals.BLOCK]) + rng.randrange(-300, 3000), b + rng.choice([5, 40, 400])) for k in range(300)]
+    rows += [(300, 0, 2 * intervals.BLOCK, 3 * intervals.BLOCK + 100), (301, 1, intervals.BLOCK - 9, intervals.BLOCK + 9)]
+    df = spark.createDataFrame(rows, "k long, tid int, begin long, end long")
+    expected = intervals.overlap_join(df, intervals.merged(df).toDF("h_tid", "island", "h_begin", "h_end", "n"), right_cols=("h_tid", "h_begin", "h_end"))
+    names = ["k", "tid", "begin", "end", "island", "h_begin", "h_end"]
+    assert sorted(map(tuple, intervals.with_hulls(df).select(names).collect())) == sorted(map(tuple, expected.select(names).collect()))
+    monkeypatch.delattr(intervals, "overlap_join")
+    end = lambda b: F.struct(F.col("tid"), F.col("begin").alias("begin"), (F.col("begin") + b).alias("end"))
+    nodes, edges = graph.merge(df.select(end(50).alias("a"), end(20).alias("b"), F.lit(3).cast("long").alias("w")))
+    assert nodes.count() > 0 and edges.count() > 0
