@@ -102,3 +102,19 @@ def merged_streams(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t)
     return out.repartition("tid", F.expr(f"pos0 div {SEGMENT}")).sortWithinPartitions("tid", "pos0", "sample", "qname")
+
+
+#: Estimated bytes of a table that one task takes, where a step holds or sorts all rows of its task.
+TASK_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as its estimated size asks for, so that a task's share stays the same as df grows.
+
+    Small tables stay as they are, and so do those whose size Spark does not know, or estimates as a product of two.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    unknown = size >= 1 << 60 or "Join" in plan.toString()
+    n = min(size // TASK_BYTES, 1 << 16)
+    return df if n < 2 or unknown else df.repartition(n, *keys)

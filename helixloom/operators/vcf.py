@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import seq
 from . import intervals
+from .partitioning import spread
 
 
 def info(key: str, source: Column | str = "info") -> Column:
@@ -439,13 +440,21 @@ def timing(log: DataFrame) -> DataFrame:
 def supporting_reads(reads: DataFrame, support: DataFrame) -> DataFrame:
     """Reads with a ZM tag: the ids that each supports, with the kinds of support, from (sample, qname, read_no, tid, pos0, sv, kind)."""
     keys = ["sample", "qname", "read_no", "tid", "pos0"]
-    one = support.groupBy(*keys, "sv").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("_k"))
-    tag = one.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat("sv", F.lit("|"), "_k"))), ",").alias("zm"))
+    # one aggregation: the kinds of each id are put together within a read's few rows
+    found = spread(support.where("sv IS NOT NULL").select(*keys, "sv", "kind"), *keys).groupBy(*keys).agg(F.collect_set(F.struct("sv", "kind")).alias("_s"))
+    kinds = lambda sv: F.array_join(F.array_sort(F.transform(F.filter("_s", lambda x: (x["sv"] == sv) & x["kind"].isNotNull()), lambda x: x["kind"])), "|")
+    tag = found.select(*keys, F.array_join(F.array_sort(F.transform(F.array_distinct(F.transform("_s", lambda x: x["sv"])), lambda sv: F.concat(sv, F.lit("|"), kinds(sv)))), ",").alias("zm"))
     return reads.join(tag, keys)
 
 
+#: Most ids that are sent to all tasks, counted first.
+MOST_IDS = 100_000
+
+
 def reads_of(reads: DataFrame, ids: DataFrame) -> DataFrame:
     """Reads whose ZM tag names one of the ids (id)."""
     named = reads.select("*", F.explode(F.transform(F.split("zm", ","), lambda x: F.substring_index(x, "|", 1))).alias("_id"))
-    hit = named.join(ids.select(F.col("id").alias("_id")), "_id", "left_semi").drop("_id")
+    chosen = ids.select(F.col("id").alias("_id")).distinct()
+    # few ids have many reads each: by a shuffle all reads of an id would be one task's
+    hit = named.join(F.broadcast(chosen) if chosen.count() <= MOST_IDS else chosen, "_id", "left_semi").drop("_id")
     return hit.distinct()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixloom.functions import cigar
-from helixloom.operators import graph, intervals, observations, support, vcf
+from helixloom.operators import graph, intervals, observations, partitioning, support, vcf
 from helixloom.operators import reads as R
 
 
@@ -112,3 +112,22 @@ def test_ranges_find_their_hulls_without_an_overlap_join(spark, monkeypatch):
     end = lambda b: F.struct(F.col("tid"), F.col("begin").alias("begin"), (F.col("begin") + b).alias("end"))
     nodes, edges = graph.merge(df.select(end(50).alias("a"), end(20).alias("b"), F.lit(3).cast("long").alias("w")))
     assert nodes.count() > 0 and edges.count() > 0
+
+
+def test_reads_of_few_ids_are_not_dealt_by_id(spark):
+    """All reads of an id would else be one task's; tags hold every kind once, in order."""
+    keys = "sample int, qname string, read_no int, tid int, pos0 int"
+    reads = spark.createDataFrame([(0, "a", 1, 0, 0), (0, "b", 1, 0, 0), (0, "c", 1, 0, 0)], keys)
+    support_ = spark.createDataFrame([(0, q, 1, 0, 0, sv, kind) for q, sv, kind in [("a", "V3", "SR"), ("a", "V3", "PR"), ("a", "V3", "PR"), ("a", "V12", "SR"), ("b", "V7", None), ("b", None, "PR"), ("c", "V9", "PR")]], f"{keys}, sv string, kind string")
+    found = vcf.reads_of(vcf.supporting_reads(reads, support_), spark.createDataFrame([("V3",), ("V12",), ("V7",)], "id string"))
+    assert sorted((r.qname, r.zm) for r in found.collect()) == [("a", "V12|SR,V3|PR|SR"), ("b", "V7|")]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_dealt_to_tasks_by_their_size(spark):
+    df = spark.range(4_000_000).withColumn("b", F.col("id") % 7)
+    parts = partitioning.spread(df, "id").rdd.getNumPartitions()
+    assert parts >= 4 and partitioning.spread(df.unionAll(df), "id").rdd.getNumPartitions() >= 2 * parts - 1
+    unknown = spark.createDataFrame([(1,)], "id long")
+    assert partitioning.spread(unknown, "id").rdd.getNumPartitions() == unknown.rdd.getNumPartitions()
+    assert partitioning.spread(spark.range(10), "id").rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()
