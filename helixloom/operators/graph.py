@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import intervals
+from .partitioning import spread
 
 #: Weight of an observation times the least number of observations.
 THRESHOLD = 9
@@ -126,7 +127,8 @@ def paired(edges: DataFrame) -> DataFrame:
     """One row for each linked pair, n1 <= n2, with the counts of both directions."""
     forward = F.when(F.col("n1") <= F.col("n2"), F.col("w")).otherwise(0)
     back = F.when(F.col("n1") > F.col("n2"), F.col("w")).otherwise(0)
-    out = edges.groupBy("locus", F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2")).agg(F.sum(forward).alias("count_fwd"), F.sum(back).alias("count_rev"))
+    sides = edges.select("locus", F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2"), forward.alias("_f"), back.alias("_b"))
+    out = spread(sides, "locus", "n1", "n2").groupBy("locus", "n1", "n2").agg(F.sum("_f").alias("count_fwd"), F.sum("_b").alias("count_rev"))
     return out.withColumn("count_rev", F.when(F.col("n1") == F.col("n2"), F.col("count_fwd")).otherwise(F.col("count_rev")))
 
 
@@ -155,7 +157,9 @@ def bidirectional(threshold: int = THRESHOLD) -> Column:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """node, degree (linked nodes, itself included) and observations (counts out of it), from paired edges."""
-    out = edges.select(F.col("n1").alias("node"), F.col("count_fwd").alias("w")).unionAll(edges.where("n1 <> n2").select(F.col("n2").alias("node"), F.col("count_rev").alias("w")))
+    end = lambda n, w: F.struct(F.col(n).alias("node"), F.col(w).alias("w"))
+    ends = F.when(F.col("n1") == F.col("n2"), F.array(end("n1", "count_fwd"))).otherwise(F.array(end("n1", "count_fwd"), end("n2", "count_rev")))
+    out = edges.select(F.explode(ends).alias("e")).select("e.node", "e.w")  # edges are read once
     return out.groupBy("node").agg(F.count("*").alias("degree"), F.sum("w").alias("observations"))
 
 

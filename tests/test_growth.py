@@ -124,6 +124,13 @@ def test_reads_of_few_ids_are_not_dealt_by_id(spark):
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_edges_are_read_once_for_degrees(spark):
+    edges = spark.createDataFrame([(1, 2, 5, 6), (2, 2, 3, 3), (1, 3, 0, 4)], "n1 long, n2 long, count_fwd long, count_rev long")
+    out = graph.degrees(edges)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 5), (2, 2, 9), (3, 1, 4)]
+    assert plan(out).count("LogicalRDD") == 1
+
+
 def test_tables_are_dealt_to_tasks_by_their_size(spark):
     df = spark.range(4_000_000).withColumn("b", F.col("id") % 7)
     parts = partitioning.spread(df, "id").rdd.getNumPartitions()
