@@ -245,7 +245,7 @@ def deduplicated(records: DataFrame, contigs: DataFrame) -> DataFrame:
 def mates(records: DataFrame) -> DataFrame:
     """Breakend records with the columns of their mates (m_chrom, m_pos, m_alt)."""
     other = records.select(F.col("id").alias("mate"), F.col("chrom").alias("m_chrom"), F.col("pos").alias("m_pos"), F.col("alt").alias("m_alt"))
-    return records.where(info("SVTYPE") == "BND").withColumn("mate", info("MATEID")).join(other, "mate", "left").drop("mate")
+    return records.where(info("SVTYPE") == "BND").withColumn("mate", info("MATEID")).join(spread(other, "mate"), "mate", "left").drop("mate")
 
 
 def allele_count(sample: Column, fmt: Column) -> Column:
@@ -313,8 +313,8 @@ def inversions(records: DataFrame) -> DataFrame:
     rest = F.regexp_replace(F.col("info"), r"(?:^|;)(?:SVTYPE|MATEID|BND_DEPTH|MATE_BND_DEPTH|END|SVLEN)=[^;]*", "")
     text = F.concat(F.lit("END="), end.cast("string"), F.lit(";SVTYPE=INV;SVLEN="), (end - start).cast("string"), F.lit(";"), F.col("_inv"), F.when(F.ltrim(rest, F.lit(";")) != "", F.concat(F.lit(";"), F.ltrim(rest, F.lit(";")))).otherwise(""))
     made = first.withColumns({"info": text, "alt": F.lit("<INV>"), "pos": start.cast("int"), "id": F.regexp_replace("id", ":[01]$", "")}).select(*records.columns)
-    gone = rows.select("id").unionAll(rows.select(info("MATEID").alias("id"))).distinct()
-    return records.join(gone, "id", "left_anti").select(*records.columns).unionByName(made)
+    gone = rows.select(F.explode(F.array("id", info("MATEID"))).alias("id"))
+    return spread(records, "id").join(gone, "id", "left_anti").select(*records.columns).unionByName(made)
 
 
 def de_novo(records: DataFrame, proband: int, mother: int, father: int) -> DataFrame:
